@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, langid, packing, quality, secrets, urlfilter
+from . import bpe, exactdedup, jaccard, langid, packing, quality, secrets, urlfilter
 from .common import table
 
 
@@ -81,8 +81,12 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe_codec, op4_packing, op5_url_filter, op6_quality_rules, op8_exact_dedup, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe_codec, op4_packing, op5_url_filter, op6_quality_rules, op8_exact_dedup, op9_secret_scan, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:

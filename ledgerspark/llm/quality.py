@@ -30,44 +30,43 @@ def with_words(docs: DataFrame) -> DataFrame:
     )
 
 
-def _repeat_words(words: str, windows: str) -> Column:
-    """Words covered by 3-word windows that occur twice or more, from the windows sorted with their places."""
-    def at(c, k):
-        return F.get(c, k)
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once a row, wherever the optimizer moves the expression."""
+    return F.get(F.transform(F.array(value), body), 0)
 
-    again = F.filter(windows, lambda x, k: (at(F.col(windows), k - 1)["w"] == x["w"]) | (at(F.col(windows), k + 1)["w"] == x["w"]))
-    places = F.array_sort(F.transform(again, lambda x: x["i"]))
-    return F.when(F.size(words) < 4, F.array().cast("array<int>")).otherwise(places)
+
+def _repeat_words(words: Column) -> Column:
+    """Words covered by 3-word windows that occur twice or more: windows sorted with their places, equal neighbours
+    marked, their places sorted, and the stretches that these cover added up."""
+    def window(i: Column) -> Column:
+        return F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))
+
+    def places(windows: Column) -> Column:
+        again = F.filter(windows, lambda x, k: (F.get(windows, k - 1)["w"] == x["w"]) | (F.get(windows, k + 1)["w"] == x["w"]))
+        return F.sort_array(F.transform(again, lambda x: x["i"]))
+
+    def covered(at: Column) -> Column:
+        parts = F.transform(at, lambda p, k: F.least(F.coalesce(F.get(at, k + 1) - p, F.lit(3)), F.lit(3)).cast("long"))
+        return F.aggregate(parts, F.lit(0).cast("long"), lambda total, x: total + x)
+
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
+    return F.when(F.size(words) >= 4, _let(_let(windows, places), covered)).otherwise(F.lit(0).cast("long"))
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
     """doc_id, text, words, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
-    n, words = F.size("words"), F.col("words")
-    windows = F.when(
-        n >= 4, F.sort_array(F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.concat_ws(" ", F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("w"), i.alias("i"))))
-    ).otherwise(F.array().cast("array<struct<w:string,i:int>>"))
     lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
-    places = F.col("places")
-    covered = F.aggregate(
-        F.transform(places, lambda p, k: F.least(F.coalesce(F.get(places, k + 1) - p, F.lit(3)), F.lit(3)).cast("long")), F.lit(0).cast("long"), lambda total, x: total + x
-    )
     return (
         with_words(docs)
-        .withColumn("lines", lines)
         .withColumns(
             {
-                "n_words": n.cast("long"),
+                "n_words": F.size("words").cast("long"),
                 "word_chars": F.length(F.array_join("words", "")).cast("long"),
                 "n_symbols": (F.length("text") - F.length(F.regexp_replace("text", r"[#*$%&|<>]", ""))).cast("long"),
-                "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-                "windows": windows,
+                "n_dup_lines": _let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+                "n_repeat_words": _let(F.col("words"), _repeat_words),
             }
         )
-        .drop("lines")
-        .withColumn("places", _repeat_words("words", "windows"))
-        .drop("windows")
-        .withColumn("n_repeat_words", covered)
-        .drop("places")
         .withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
     )
 
@@ -87,11 +86,11 @@ def rules() -> dict[str, Column]:
 
 def ordered_rules(docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
     """Names of the rules by rejection per cost, as seen on a sample."""
-    sample = common.stored(base_counts(docs.limit(rows)).where(~F.col("base_failed")))
+    sample = common.stored(base_counts(docs.limit(rows)))
     worth = {}
     for name, rule in rules().items():
         began = time.perf_counter()
-        row = sample.agg(F.count_if(rule).alias("rejected"), F.count("*").alias("n")).first()
+        row = sample.where(~F.col("base_failed")).agg(F.count_if(rule).alias("rejected"), F.count("*").alias("n")).first()
         cost = time.perf_counter() - began
         worth[name] = row.rejected / max(1, row.n) / max(cost, 1e-6)
     return sorted(worth, key=lambda name: -worth[name])
