@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exactdedup, jaccard, langid, packing, quality, secrets, urlfilter
+import corpus_pipeline
+
+from . import bpe, exactdedup, jaccard, langid, linededup, packing, quality, secrets, urlfilter
 from .common import table
 
 
@@ -73,6 +75,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_duplicates(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -86,8 +92,10 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe_codec, op4_packing, op5_url_filter, op6_quality_rules, op8_exact_dedup, op9_secret_scan, op10_jaccard_join)}
+    own = {f.__name__: f for f in (op1_token_counts, op2_language_id, op3_bpe_codec, op4_packing, op5_url_filter, op6_quality_rules, op7_line_dedup, op8_exact_dedup, op9_secret_scan, op10_jaccard_join)}
+    return own | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL}
+    pipeline = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+    return pipeline | {"op6_quality_rules": OP6_SQL, "op8_exact_dedup": OP8_SQL}

@@ -230,14 +230,11 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 def training_sample(docs: DataFrame, settings: Settings) -> tuple[list[bytes], list[str]]:
     """At most `sample_rows` labelled rows, those whose ids hash lowest, and a stretch of each."""
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - settings.sample_chars, F.lit(1))) + 1
-    rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-        .where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select("doc_id", "lang", F.substring("text", place.cast("int"), F.lit(settings.sample_chars)).alias("cut"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "lang", "cut")
-        .limit(settings.sample_rows)
-        .collect()
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
+        ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
+    cut = F.substring("text", place.cast("int"), F.lit(settings.sample_chars))
+    rows = common.hashed_sample(labelled.select("doc_id", "lang", cut.alias("cut")), ["doc_id", "lang"], settings.sample_rows).collect()
     rows = sorted(((r.lang, r.cut.encode()) for r in rows))
     return [t for _, t in rows], [x for x, _ in rows]
 

@@ -18,6 +18,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 # The contract's rules, as (action, host and path).
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -172,12 +174,9 @@ def boosted(features: np.ndarray, suffixes: list[str], blocked: np.ndarray) -> T
 def fitted(pages: DataFrame, rules=RULES) -> Trees:
     """Trees from labelled urls, those with the lowest hashes: their features and labels alone come to the driver."""
     names = [f for f in FEATURES if not f.startswith("suffix")]
+    labelled = with_parts(pages).withColumn("rule", rule_of(rules)).where(F.col("rule").isNotNull())
     rows = (
-        with_parts(pages)
-        .withColumn("rule", rule_of(rules))
-        .where(F.col("rule").isNotNull())
-        .orderBy(F.xxhash64("url"), "url", "page_id")
-        .limit(SAMPLE_ROWS)
+        common.hashed_sample(labelled, ["url", "page_id"], SAMPLE_ROWS)
         .withColumns(lexical_features())
         .select(*names, F.substring("suffix", 1, 64).alias("suffix"), (_action(rules) == "block").alias("blocked"))
         .collect()
