@@ -18,13 +18,8 @@ LEAST_SCORE = 0.3
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Learn from the labelled rows that aren't held out; rows that get no language go.
-
-    Rows with one id are judged together: they stay unless all are rejected.
-    """
-    columns = docs.columns
-    accepted = langid.identified(docs).where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return docs.join(accepted.select("doc_id").distinct(), "doc_id", "left_semi").select(columns)
+    """Learn from the labelled rows that aren't held out; rows that get no language go."""
+    return langid.accepted(docs, langid.fitted(docs), LEAST_SCORE)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -63,6 +63,18 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.where(F.pmod(own, F.lit(every)) == 0).orderBy(own, *keys).limit(rows)
 
 
+#: Rows of ids, digests and the like up to which a table is broadcast (some 60 bytes each); beyond, it is shuffled.
+BROADCAST_ROWS = 2_000_000
+
+
+def beside(large: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Join a table to one that is mostly far smaller: by broadcast if its counted rows allow, else by a shuffle.
+
+    `small` should be a stored table: it is counted here.
+    """
+    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

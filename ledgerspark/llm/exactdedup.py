@@ -140,5 +140,5 @@ def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(digests, pa.binary())], [*batch.schema.names, key])
 
     groups = groups.select(F.col("digest").alias(key), F.col("keep_id").alias("_keep_id"), F.col("group_size").alias("_group_size"))
-    joined = docs.mapInArrow(run, schema).join(groups, key, "left")
+    joined = common.beside(docs.mapInArrow(run, schema), groups, [key], "left")
     return joined.where(F.col("_group_size").isNull() | F.col("doc_id").eqNullSafe(F.col("_keep_id"))).select(*docs.columns)

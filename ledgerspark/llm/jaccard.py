@@ -12,7 +12,7 @@ Exact, by prefixes of the sets in one order of all shingles (rare ones first), w
 The leaders only save work: the index covers every set, so a link between components that exists is found.
 
 The order rests on a sample of `SAMPLE_ROWS` texts; any order gives the same result. Shingles are 64-bit hashes.
-Components that are looked up while texts are read are broadcast below `BROADCAST_ROWS` rows and joined beyond.
+Ids that are looked up while texts are read are broadcast if their count allows, and joined by a shuffle else.
 
 Cases: a null text, or one without words, has an empty set and no link; its component is its own id. A text of fewer
 words than a shingle has one shingle, the sequence of its words. Repeated rows are rows of one class. Rows that share an id
@@ -40,7 +40,6 @@ NUMERATOR, DENOMINATOR = 75, 100
 HEAD, LEADERS = 8, 2
 #: Texts from which the order of shingles is estimated; shingles in so many of them are put last; of those, at most.
 SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 4000, 3, 500_000
-BROADCAST_ROWS = 4_000_000
 #: Words that a worker remembers the hash of.
 MEMO_ENTRIES = 400_000
 
@@ -174,11 +173,6 @@ def _profiles(docs: DataFrame, order) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, head array<long>")
 
 
-def _beside(docs: DataFrame, other: DataFrame, how: str) -> DataFrame:
-    """Join a table of ids to the texts: broadcast where its size allows, else by a shuffle."""
-    return docs.join(F.broadcast(other) if other.count() <= BROADCAST_ROWS else other, "doc_id", how)
-
-
 def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) that are similar enough, by their whole sets."""
 
@@ -190,8 +184,8 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 blobs = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names if c != "text"), pa.array(blobs, pa.binary())], [*(c for c in names if c != "text"), "shingles"])
 
-    of_b = _beside(docs, pairs.select("a", F.col("b").alias("doc_id")), "inner").select(F.col("doc_id").alias("b"), "a", "text").mapInArrow(sets, "b long, a long, shingles binary")
-    of_a = _beside(docs, pairs.select(F.col("a").alias("doc_id")).distinct(), "inner").select(F.col("doc_id").alias("a"), "text").mapInArrow(sets, "a long, shingles binary")
+    of_b = common.beside(docs, pairs.select("a", F.col("b").alias("doc_id")), ["doc_id"], "inner").select(F.col("doc_id").alias("b"), "a", "text").mapInArrow(sets, "b long, a long, shingles binary")
+    of_a = common.beside(docs, pairs.select(F.col("a").alias("doc_id")).distinct(), ["doc_id"], "inner").select(F.col("doc_id").alias("a"), "text").mapInArrow(sets, "a long, shingles binary")
     both = of_b.join(of_a.withColumnRenamed("shingles", "other"), "a")
 
     def compare(batches):
@@ -361,7 +355,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     groups = common.stored(components(near))
 
     known = common.stored(groups.select(F.col("node").alias("doc_id"), "component", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("component"), F.lit(True).alias("copy"))))
-    rest = _beside(texts, known, "left").where(~F.coalesce("copy", F.lit(False))).select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
+    rest = common.beside(texts, known, ["doc_id"], "left").where(~F.coalesce("copy", F.lit(False))).select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = _postings(rest, order, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     far = common.stored(_compared(texts, common.stored(_candidates(dealt))))
@@ -375,5 +369,5 @@ def similar_components(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest id; all columns. Rows with a null id stay."""
     found = similar_components(docs)
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("doc_id")).distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    gone = common.stored(found.where("doc_id <> component_id").select("doc_id").distinct())
+    return common.beside(docs, gone, ["doc_id"], "left_anti")

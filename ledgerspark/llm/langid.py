@@ -230,11 +230,11 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 def training_sample(docs: DataFrame, settings: Settings) -> tuple[list[bytes], list[str]]:
     """At most `sample_rows` labelled rows, those whose ids hash lowest, and a stretch of each."""
     place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - settings.sample_chars, F.lit(1))) + 1
-    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
+    rows_with_label = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
     cut = F.substring("text", place.cast("int"), F.lit(settings.sample_chars))
-    rows = common.hashed_sample(labelled.select("doc_id", "lang", cut.alias("cut")), ["doc_id", "lang"], settings.sample_rows).collect()
+    rows = common.hashed_sample(rows_with_label.select("doc_id", "lang", cut.alias("cut")), ["doc_id", "lang"], settings.sample_rows).collect()
     rows = sorted(((r.lang, r.cut.encode()) for r in rows))
     return [t for _, t in rows], [x for x, _ in rows]
 
@@ -244,26 +244,48 @@ def fitted(docs: DataFrame, settings: Settings = Settings()) -> Network | None:
     return trained(texts, labels, settings) if texts else None
 
 
-def predicted(docs: DataFrame, net: Network | None, rows: int = 400) -> DataFrame:
-    """doc_id, lang_pred, score of every whole text; the prediction sees the text alone."""
+def labelled(net: Network | None, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Language and score of each whole text; the prediction sees the text alone."""
+    lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+    lettered = [i for i, t in enumerate(texts) if net is not None and t and has_letter(t)]
+    if lettered:
+        p = pooled(net, [texts[i].encode() for i in lettered])
+        for i, best, value in zip(lettered, p.argmax(axis=1), p.max(axis=1)):
+            lang[i], score[i] = net.languages[best], min(1.0, float(value))
+    return lang, score
+
+
+def _parts(batches, rows: int = 400):
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
+def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
+    """doc_id, lang_pred, score of every whole text."""
     common.ship(docs.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, rows):
-                part = batch.slice(k, rows)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                lettered = [i for i, t in enumerate(texts) if net is not None and has_letter(t)]
-                lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-                if lettered:
-                    p = pooled(net, [texts[i].encode() for i in lettered])
-                    for i, best, value in zip(lettered, p.argmax(axis=1), p.max(axis=1)):
-                        lang[i], score[i] = net.languages[best], min(1.0, float(value))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+        for part in _parts(batches):
+            lang, score = labelled(net, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
     return common.id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def accepted(docs: DataFrame, net: Network | None, least_score: float) -> DataFrame:
+    """The rows whose text gets a language with this score at least; all columns."""
+    common.ship(docs.sparkSession)
+    where = docs.columns.index("text")
+
+    def run(batches):
+        for part in _parts(batches):
+            lang, score = labelled(net, part.column(where).to_pylist())
+            yield part.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, held_out, lang_pred, score: learned from the rows that aren't held out, said of all rows."""
     found = predicted(docs, fitted(docs, settings))

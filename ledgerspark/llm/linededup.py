@@ -26,9 +26,6 @@ from . import common
 
 #: Words that a repeated run has at least.
 MIN_WORDS = 50
-#: Rows of deletions up to which they are broadcast to the texts; beyond, they are joined by a shuffle.
-BROADCAST_ROWS = 1_000_000
-
 _KEY = ["d", "u"]
 _LAST = (1 << 63) - 1
 
@@ -140,7 +137,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     runs = common.stored(repeated_runs(docs, min_words)).withColumnsRenamed({"d": "_d", "u": "_u", "runs": "_runs"})
     keyed = _keyed(docs.drop("n_lines", "n_deleted").withColumn("text", F.col("text").cast("string"))).withColumnsRenamed({"d": "_d", "u": "_u"})
     names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    joined = keyed.join(F.broadcast(runs) if runs.count() <= BROADCAST_ROWS else runs, ["_d", "_u"], "left").select(*names, "_runs")
+    joined = common.beside(keyed, runs, ["_d", "_u"], "left").select(*names, "_runs")
     where = names.index("text")
     schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_runs"), T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
 
