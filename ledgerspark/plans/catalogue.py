@@ -1,15 +1,317 @@
-"""Named queries and the SQL that each must equal."""
+"""Named queries over the overlay of the driver's tables, and the SQL that each must equal."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import date
+
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.casts import as_double
+from ..operators import audit, infer, metrics, model, qc
+from ..sources import synth
+from ..streaming import incremental
+from .overlay import SQL, UNKNOWN_BLOCK, Overlay
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+#: Watermarks of the incremental queries: what is written reaches to the first, the batch is read from the second on.
+WRITTEN_UNTIL, WATERMARK = date(2001, 6, 1), date(2001, 1, 1)
+SYNTH_ORDERS, SYNTH_CUSTOMERS = 200_000, 3_000
+
+
+def _table(o: Overlay) -> DataFrame:
+    return model.analysis_table(o.customers, o.orders, o.promotions)
+
+
+def _money_out(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: as_double(F.col(c)) for c in columns})
+
+
+def _analysis(o: Overlay) -> DataFrame:
+    t = _table(o).withColumn("order_date", F.col("order_date").cast("string"))
+    return _money_out(t, "amount", "discount_raw", "discount")
+
+
+def _orders_out(df: DataFrame) -> DataFrame:
+    return _money_out(df.withColumn("order_date", F.col("order_date").cast("string")), "amount")
+
+
+def _raw_findings(o: Overlay) -> DataFrame:
+    return qc.raw_findings(o.customers, o.orders_dirty, o.promotions)
+
+
+def _cleaned(o: Overlay) -> DataFrame:
+    return qc.cleaned(qc.filtered(o.orders_dirty))
+
+
+def _final_findings(o: Overlay) -> DataFrame:
+    clean = _cleaned(o)
+    return qc.final_findings(clean.distinct(), model.analysis_table(o.customers, clean, o.promotions))
+
+
+def _ledger(o: Overlay) -> DataFrame:
+    clean = _cleaned(o)
+    return qc.ledger(o.orders_dirty, qc.filtered(o.orders_dirty), clean.distinct(), model.analysis_table(o.customers, clean, o.promotions))
+
+
+def _written(o: Overlay) -> DataFrame:
+    return o.orders.distinct().where(F.col("order_date") < F.lit(WRITTEN_UNTIL))
+
 
+def _new_rows(o: Overlay) -> DataFrame:
+    return _orders_out(incremental.new_rows(o.orders.distinct(), _written(o), WATERMARK))
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def _synthetic(spark: SparkSession) -> DataFrame:
+    customers, orders, promotions = synth.customers(spark, SYNTH_CUSTOMERS), synth.orders(spark, SYNTH_ORDERS, SYNTH_CUSTOMERS), synth.promotions(spark, SYNTH_ORDERS)
+    table = model.analysis_table(customers, orders, promotions)
+    return metrics.revenue_by_segment(table, customers)
+
+
+#: query -> function of the overlay
+_QUERIES: dict[str, Callable[[Overlay], DataFrame]] = {
+    "table_shapes": lambda o: audit.shape({"customers": o.customers, "orders": o.orders, "promotions": o.promotions}),
+    "null_profile": lambda o: audit.null_profile({"customers": o.customers, "orders": o.orders_raw, "promotions": o.promotions}),
+    "exact_duplicate_count": lambda o: audit.duplicate_rows(o.orders),
+    "value_counts_segment": lambda o: audit.value_counts(o.customers, "segment"),
+    "value_counts_region": lambda o: audit.value_counts(o.customers, "region"),
+    "value_counts_status": lambda o: audit.value_counts(o.orders, "status"),
+    "value_counts_promo": lambda o: audit.value_counts(o.promotions, "promo_code"),
+    "whitespace_profile": lambda o: audit.padded_profile(o.orders_raw),
+    "amount_profile": lambda o: audit.money_profile(o.orders_raw, "amount"),
+    "discount_profile": lambda o: audit.money_profile(o.promotions, "discount_amount"),
+    "date_profile": lambda o: audit.date_profile(o.orders_raw, "order_date"),
+    "duplicate_key_ids": lambda o: audit.duplicate_keys(o.orders_conflict, "order_id"),
+    "duplicate_conflicts": lambda o: audit.duplicate_conflicts(o.orders_conflict, "order_id"),
+    "duplicate_rows_of_keys": lambda o: _orders_out(o.orders_conflict.join(audit.duplicate_keys(o.orders_conflict, "order_id"), "order_id", "left_semi")),
+    "orphan_orders": lambda o: _orders_out(audit.orphans(o.orders, o.customers, "customer_id")),
+    "orphan_order_summary": lambda o: audit.orphan_summary(o.orders, o.customers, "customer_id"),
+    "orphan_promotions": lambda o: _money_out(audit.orphans(o.promotions, o.orders, "order_id"), "discount_amount"),
+    "promos_per_order_hist": lambda o: audit.histogram_of_counts(o.promotions, "order_id", "n_promos", "n_orders"),
+    "promoted_order_status": lambda o: audit.value_counts(o.promotions.join(o.orders.distinct().select("order_id", "status"), "order_id"), "status", keep_null=False),
+    "id_range_known_vs_unknown": lambda o: audit.id_ranges(o.customers, o.orders, UNKNOWN_BLOCK),
+    "segment_coverage": lambda o: audit.segment_coverage(o.customers, o.orders),
+    "naive_fanout_overstatement": lambda o: metrics.naive_overstatement(o.orders, o.promotions),
+    "dedup_orders": lambda o: _orders_out(model.distinct_orders(o.orders)),
+    "promos_collapsed": lambda o: _money_out(model.promotions_per_order(o.promotions), "discount_raw"),
+    "analysis_table": _analysis,
+    "cap_summary": lambda o: metrics.cap_summary(_table(o)),
+    "single_promotions_over_amount": lambda o: metrics.single_promotions_over_amount(o.orders, o.promotions),
+    "unmatched_vs_fifth": lambda o: metrics.unmatched_against_top(_table(o)),
+    "status_breakdown": lambda o: metrics.status_breakdown(_table(o)),
+    "revenue_totals": lambda o: metrics.revenue_totals(_table(o)),
+    "revenue_by_segment": lambda o: metrics.revenue_by_segment(_table(o), o.customers),
+    "segment_checksum": lambda o: metrics.segment_checksum(_table(o), o.customers),
+    "top5_customers": lambda o: metrics.top_customers(_table(o)),
+    "top5_share": lambda o: metrics.top_share(_table(o)),
+    "rank_gap_5_6": lambda o: metrics.rank_gap(_table(o)),
+    "scenario_table": lambda o: metrics.scenario_table(_table(o), o.orders),
+    "findings_raw": _raw_findings,
+    "findings_final": _final_findings,
+    "ledger": _ledger,
+    "qc_before_after": lambda o: qc.by_severity(_raw_findings(o).union(_final_findings(o))),
+    "data_health": lambda o: qc.data_health(_raw_findings(o).union(_final_findings(o)), _ledger(o)),
+    "filter_stage": lambda o: qc.filter_log(o.orders_dirty),
+    "undeclared_profile": lambda o: infer.column_profile(o.read("events")),
+    "undeclared_deduped": lambda o: audit.duplicate_rows(o.read("events").select("user_id", "event_type")),
+    "inferred_foreign_key": lambda o: audit.orphan_summary(o.read("events").select(F.col("user_id").cast("string").alias("customer_id")), o.customers, "customer_id"),
+    "incremental_new_rows": _new_rows,
+    "incremental_late_rows": lambda o: incremental.late_rows(o.orders.distinct(), _written(o).where(F.pmod(F.col("order_id").cast("bigint"), F.lit(7)) != 0), WATERMARK).agg(F.count("*").alias("n_late")),
+}
+
+
+def queries() -> dict[str, Query]:
+    out: dict[str, Query] = {name: (lambda spark, sf_dir, f=f: f(Overlay(spark, sf_dir))) for name, f in _QUERIES.items()}
+    return out | {"synthetic_by_segment": lambda spark, sf_dir: _synthetic(spark)}
+
+
+_MONEY_PROFILE = """
+SELECT count(*) FILTER (v IS NULL) AS n_unparseable, count(*) FILTER (raw IS NULL) AS n_null, count(*) FILTER (v < 0) AS n_negative, count(*) FILTER (v = 0) AS n_zero,
+       CAST(min(v) AS DOUBLE) AS min_value, median(CAST(v AS DOUBLE)) AS median_value, CAST(max(v) AS DOUBLE) AS max_value
+FROM (SELECT {c} AS raw, TRY_CAST({c} AS DECIMAL(18,2)) AS v FROM {t})
+"""
+_ORDER_OUT = "order_id, customer_id, CAST(order_date AS VARCHAR) AS order_date, CAST(amount AS DOUBLE) AS amount, status"
+_FINDING = "SELECT '{stage}' AS stage, '{t}' AS table_name, '{c}' AS column_name, '{check}' AS check_name, '{severity}' AS severity, CAST(({n}) AS BIGINT) AS n_rows, CAST(({k}) AS BIGINT) AS n_keys, {d} AS detail, false AS inferred"
+
+
+def _findings(stage: str, rows: list[tuple]) -> str:
+    parts = [_FINDING.format(stage=stage, t=t, c=c, check=check, severity=s, n=n, k=more[0] if more else "NULL", d=more[1] if len(more) > 1 else "CAST(NULL AS VARCHAR)") for t, c, check, s, n, *more in rows]
+    return "SELECT * FROM (" + " UNION ALL ".join(parts) + ") WHERE n_rows > 0"
+
+
+def _count(where: str, table: str = "x_orders_dirty") -> str:
+    return f"SELECT count(*) FROM {table} WHERE {where}"
+
+
+_AMOUNT, _DAY = "TRY_CAST(amount AS DECIMAL(18,2))", "TRY_CAST(order_date AS DATE)"
+_CONFLICTING = "SELECT count(*) FROM (SELECT order_id FROM (SELECT DISTINCT * FROM x_orders_dirty) GROUP BY order_id HAVING count(*) > 1)"
+_RAW = _findings(
+    "raw",
+    [
+        ("orders", "amount", "null_value", "warn", _count("amount IS NULL")),
+        ("orders", "amount", "unparseable", "warn", _count(f"amount IS NOT NULL AND {_AMOUNT} IS NULL")),
+        ("orders", "amount", "negative", "warn", _count(f"{_AMOUNT} < 0")),
+        ("orders", "amount", "zero", "warn", _count(f"{_AMOUNT} = 0")),
+        ("orders", "order_date", "unparseable", "warn", _count(f"{_DAY} IS NULL")),
+        ("orders", "status", "padded", "info", _count("status <> trim(status)")),
+        ("orders", "status", "unexpected_value", "warn", _count("trim(status) NOT IN ('completed', 'refunded', 'cancelled')")),
+        ("orders", "customer_id", "null_key", "warn", _count("customer_id IS NULL")),
+        ("orders", "order_id", "exact_duplicate", "warn", "SELECT (SELECT count(*) FROM x_orders_dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM x_orders_dirty))"),
+        ("orders", "order_id", "conflicting_duplicate", "fail", _CONFLICTING, _CONFLICTING),
+        ("orders", "customer_id", "orphan", "warn", "SELECT count(*) FROM x_orders_dirty ANTI JOIN x_customers USING (customer_id)", "SELECT count(DISTINCT customer_id) FROM x_orders_dirty ANTI JOIN x_customers USING (customer_id)"),
+        (
+            "promotions", "order_id", "orphan", "warn", "SELECT count(*) FROM x_promotions ANTI JOIN x_orders_dirty USING (order_id)", "SELECT count(DISTINCT order_id) FROM x_promotions ANTI JOIN x_orders_dirty USING (order_id)",
+            "(SELECT 'lost discount ' || CAST(sum(discount_amount) AS VARCHAR) FROM x_promotions ANTI JOIN x_orders_dirty USING (order_id))",
+        ),
+        ("promotions", "order_id", "stacked", "info", "SELECT sum(n_promos) FROM per_order WHERE n_promos > 1", "SELECT count(*) FROM per_order WHERE n_promos > 1"),
+    ],
+)
+_STAGES = f""", kept AS (SELECT * FROM x_orders_dirty WHERE {_AMOUNT} > 0 AND {_DAY} IS NOT NULL
+), clean AS (SELECT order_id, customer_id, CAST(order_date AS DATE) AS order_date, CAST(amount AS DECIMAL(18,2)) AS amount, trim(status) AS status FROM kept
+), d_clean AS (SELECT DISTINCT * FROM clean
+), modelled AS (
+  SELECT o.*, coalesce(p.discount_raw, CAST(0 AS DECIMAL(18,2))) AS discount_raw, c.customer_id IS NOT NULL AS is_known
+  FROM d_clean o LEFT JOIN per_order p USING (order_id) LEFT JOIN x_customers c ON o.customer_id = c.customer_id
+)
+"""
+_FINAL = _findings(
+    "final",
+    [
+        ("analysis", "discount", "capped", "info", _count("discount_raw > amount", "modelled")),
+        ("analysis", "customer_id", "unknown_customer", "warn", _count("NOT is_known", "modelled")),
+        ("analysis", "status", "promotion_without_revenue", "info", _count("least(discount_raw, amount) > 0 AND status <> 'completed'", "modelled")),
+    ],
+)
+_LEDGER = """
+SELECT * FROM (VALUES (0, 'ingest', 'read'), (1, 'filter', 'bad values'), (2, 'clean', 'exact duplicates'), (3, 'transform', 'validated joins')) s(step, stage, rule),
+LATERAL (SELECT CASE WHEN step <= 1 THEN (SELECT count(*) FROM x_orders_dirty) WHEN step = 2 THEN (SELECT count(*) FROM kept) ELSE (SELECT count(*) FROM d_clean) END AS rows_in,
+                CASE step WHEN 0 THEN (SELECT count(*) FROM x_orders_dirty) WHEN 1 THEN (SELECT count(*) FROM kept) WHEN 2 THEN (SELECT count(*) FROM d_clean) ELSE (SELECT count(*) FROM modelled) END AS rows_out)
+"""
+
+
+def _scenarios() -> str:
+    done, booked = "status = 'completed'", "status IN ('completed', 'refunded')"
+    rows = [
+        (1, "analysis", done, "amount", "amount - discount"),
+        (2, "analysis", booked, "amount", "amount - discount"),
+        (3, "analysis", f"{done} AND is_known_customer", "amount", "amount - discount"),
+        (4, "analysis", done, "amount", "amount - discount_raw"),
+        (5, "x_orders", done, "amount", "CAST(NULL AS DECIMAL(18,2))"),
+    ]
+    parts = " UNION ALL ".join(f"SELECT {k} AS number, '{metrics.SCENARIOS[k - 1]}' AS scenario, sum({a}) FILTER ({w}) AS t, sum({n}) FILTER ({w}) AS n FROM {t}" for k, t, w, a, n in rows)
+    return f"""SELECT number, scenario, CAST(t AS DOUBLE) AS total_revenue, CAST(n AS DOUBLE) AS net_revenue, CAST(t - b AS DOUBLE) AS delta_vs_baseline, CAST(t - b AS DOUBLE) / CAST(b AS DOUBLE) * 100 AS delta_pct
+FROM ({parts}), (SELECT sum(amount) AS b FROM done)"""
+
+
+def _columns_of_events() -> str:
+    columns = ("event_id", "ts", "user_id", "event_type", "value", "props")
+    return " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) AS n_rows, count(*) - count({c}) AS n_null, count(DISTINCT CAST({c} AS VARCHAR)) AS n_distinct FROM events" for c in columns)
+
+
+_SEGMENTS = """
+SELECT segment, orders, CAST(revenue AS DOUBLE) AS revenue, CAST(discounts AS DOUBLE) AS discounts, CAST(revenue - discounts AS DOUBLE) AS net_revenue,
+       CAST(revenue AS DOUBLE) / CAST(sum(revenue) OVER () AS DOUBLE) * 100 AS pct_of_revenue,
+       CASE WHEN orders = 0 THEN 0.0 ELSE CAST(revenue AS DOUBLE) / orders END AS avg_order_value
+FROM (
+  SELECT s.segment, count(d.order_id) AS orders, coalesce(sum(d.amount), 0) AS revenue, coalesce(sum(d.discount), 0) AS discounts
+  FROM (SELECT DISTINCT segment FROM {customers} UNION SELECT 'Unknown') s LEFT JOIN {done} d USING (segment) GROUP BY s.segment
+)
+"""
+_SYNTH = f"""
+WITH c AS (SELECT CAST(id + 100001 AS VARCHAR) AS customer_id, CASE id % 5 WHEN 0 THEN 'Enterprise' WHEN 1 THEN 'Mid-Market' ELSE 'SMB' END AS segment FROM range({SYNTH_CUSTOMERS}) t(id)
+), b AS (SELECT id, (id * 7919 + 12345) % {SYNTH_CUSTOMERS} AS buyer FROM range({SYNTH_ORDERS}) t(id)
+), o AS (
+  SELECT id, CAST(id + 1 AS VARCHAR) AS order_id,
+         CAST(CASE WHEN id % 100 < 2 THEN 199001 + id % 50 ELSE 100001 + CASE WHEN buyer % 5 = 1 THEN (buyer + 1) % {SYNTH_CUSTOMERS} ELSE buyer END END AS VARCHAR) AS customer_id,
+         CAST((id * 104729 + 12345) % 120000 + 500 AS DECIMAL(18,2)) / 100 AS a, CASE id % 10 WHEN 0 THEN 'refunded' WHEN 1 THEN 'cancelled' ELSE 'completed' END AS status FROM b
+), p AS (
+  SELECT id, sum(CAST(((id * part * 7907 + 12345) % 6000 + 100) AS DECIMAL(18,2))) AS cents
+  FROM (SELECT id, unnest(CASE WHEN id % 100 = 0 THEN [1, 2] ELSE [1] END) AS part FROM range({SYNTH_ORDERS}) t(id) WHERE id % 20 = 0) GROUP BY id
+), s_done AS (
+  SELECT o.order_id, coalesce(c.segment, 'Unknown') AS segment, CAST(a AS DECIMAL(18,2)) AS amount, least(CAST(coalesce(cents, 0) / 100 AS DECIMAL(18,2)), CAST(a AS DECIMAL(18,2))) AS discount
+  FROM o LEFT JOIN p USING (id) LEFT JOIN c USING (customer_id) WHERE status = 'completed'
+)
+""" + _SEGMENTS.format(customers="c", done="s_done")
+
+#: query -> what follows the overlay's common table expressions
+_ORACLE = {
+    "table_shapes": """SELECT * FROM (SELECT 'customers' AS table_name, count(*) AS n_rows, 4 AS n_columns, 'customer_id, customer_name, segment, region' AS columns FROM x_customers
+UNION ALL SELECT 'orders', count(*), 5, 'order_id, customer_id, order_date, amount, status' FROM x_orders
+UNION ALL SELECT 'promotions', count(*), 4, 'promotion_id, order_id, promo_code, discount_amount' FROM x_promotions)""",
+    "null_profile": " UNION ALL ".join(
+        f"SELECT '{name}' AS table_name, '{c}' AS column_name, count(*) - count({c}) AS n_nulls FROM {t}"
+        for name, t, columns in (("customers", "x_customers", "customer_id customer_name segment region"), ("orders", "x_orders_raw", "order_id customer_id order_date amount status"), ("promotions", "x_promotions", "promotion_id order_id promo_code discount_amount"))
+        for c in columns.split()
+    ),
+    "exact_duplicate_count": "SELECT n AS n_rows, d AS n_distinct, n - d AS n_duplicates FROM (SELECT count(*) AS n FROM x_orders), (SELECT count(*) AS d FROM d_orders)",
+    "value_counts_segment": "SELECT segment AS value, count(*) AS n FROM x_customers GROUP BY 1",
+    "value_counts_region": "SELECT region AS value, count(*) AS n FROM x_customers GROUP BY 1",
+    "value_counts_status": "SELECT status AS value, count(*) AS n FROM x_orders GROUP BY 1",
+    "value_counts_promo": "SELECT promo_code AS value, count(*) AS n FROM x_promotions GROUP BY 1",
+    "whitespace_profile": " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER ({c} <> trim({c})) AS n_padded FROM x_orders_raw" for c in ("order_id", "customer_id", "order_date", "amount", "status")),
+    "amount_profile": _MONEY_PROFILE.format(c="amount", t="x_orders_raw"),
+    "discount_profile": _MONEY_PROFILE.format(c="discount_amount", t="x_promotions"),
+    "date_profile": f"SELECT count(*) FILTER ({_DAY} IS NULL) AS n_unparseable, CAST(min({_DAY}) AS VARCHAR) AS first_date, CAST(max({_DAY}) AS VARCHAR) AS last_date FROM x_orders_raw",
+    "duplicate_key_ids": "SELECT order_id, count(*) AS n_rows FROM x_orders_conflict GROUP BY 1 HAVING count(*) > 1",
+    "duplicate_conflicts": "SELECT count(*) AS n_duplicated, count(*) FILTER (d > 1) AS n_conflicting FROM (SELECT order_id, count(DISTINCT amount) AS d FROM x_orders_conflict GROUP BY 1 HAVING count(*) > 1)",
+    "duplicate_rows_of_keys": f"SELECT {_ORDER_OUT} FROM x_orders_conflict WHERE order_id IN (SELECT order_id FROM x_orders_conflict GROUP BY 1 HAVING count(*) > 1)",
+    "orphan_orders": f"SELECT {_ORDER_OUT} FROM x_orders ANTI JOIN x_customers USING (customer_id)",
+    "orphan_order_summary": "SELECT count(*) AS n_rows, (SELECT count(*) FROM d_orders ANTI JOIN x_customers USING (customer_id)) AS n_distinct_rows, count(DISTINCT customer_id) AS n_keys FROM x_orders ANTI JOIN x_customers USING (customer_id)",
+    "orphan_promotions": "SELECT promotion_id, order_id, promo_code, CAST(discount_amount AS DOUBLE) AS discount_amount FROM x_promotions ANTI JOIN x_orders USING (order_id)",
+    "promos_per_order_hist": "SELECT n_promos, count(*) AS n_orders FROM per_order GROUP BY 1",
+    "promoted_order_status": "SELECT status AS value, count(*) AS n FROM x_promotions JOIN d_orders USING (order_id) GROUP BY 1",
+    "id_range_known_vs_unknown": f"""SELECT a.*, b.* FROM (SELECT min(CAST(customer_id AS BIGINT)) AS known_min, max(CAST(customer_id AS BIGINT)) AS known_max FROM x_customers) a,
+(SELECT min(id) AS unknown_min, max(id) AS unknown_max, count(DISTINCT id) AS n_unknown_ids, coalesce(bool_and(id >= {UNKNOWN_BLOCK}), true) AS all_unknown_in_block
+ FROM (SELECT CAST(customer_id AS BIGINT) AS id FROM x_orders ANTI JOIN x_customers USING (customer_id))) b""",
+    "segment_coverage": """SELECT segment, count(*) AS customers, count(*) FILTER (n > 0) AS customers_with_orders, CAST(coalesce(sum(n), 0) AS BIGINT) AS total_orders
+FROM x_customers LEFT JOIN (SELECT customer_id, count(*) AS n FROM d_orders GROUP BY 1) USING (customer_id) GROUP BY 1""",
+    "naive_fanout_overstatement": """SELECT order_rows, naive_rows, CAST(n AS DOUBLE) AS naive_revenue, CAST(c AS DOUBLE) AS clean_revenue, CAST(n - c AS DOUBLE) AS overstatement, CAST(n AS DOUBLE) / CAST(c AS DOUBLE) - 1 AS overstatement_ratio
+FROM (SELECT count(*) AS order_rows FROM x_orders), (SELECT count(*) AS naive_rows, sum(amount) FILTER (status = 'completed') AS n FROM x_orders LEFT JOIN x_promotions USING (order_id)), (SELECT sum(amount) AS c FROM done)""",
+    "dedup_orders": f"SELECT {_ORDER_OUT} FROM d_orders",
+    "promos_collapsed": "SELECT order_id, CAST(discount_raw AS DOUBLE) AS discount_raw, promo_codes, n_promos FROM per_order",
+    "analysis_table": """SELECT order_id, customer_id, CAST(order_date AS VARCHAR) AS order_date, CAST(amount AS DOUBLE) AS amount, status, CAST(discount_raw AS DOUBLE) AS discount_raw, promo_codes, n_promos,
+customer_name, segment, region, is_known_customer, CAST(discount AS DOUBLE) AS discount FROM analysis""",
+    "cap_summary": """SELECT count(*) FILTER (n_promos > 1) AS n_stacked, count(*) FILTER (discount_raw > amount) AS n_capped, count(*) FILTER (discount_raw > amount AND status = 'completed') AS n_capped_completed,
+CAST(sum(discount_raw - discount) AS DOUBLE) AS reduction, CAST(sum(discount_raw - discount) FILTER (status = 'completed') AS DOUBLE) AS reduction_completed, count(*) FILTER (NOT is_known_customer) AS n_unknown FROM analysis""",
+    "single_promotions_over_amount": "SELECT count(*) FILTER (discount_amount > amount) AS n_single_over FROM x_promotions JOIN d_orders USING (order_id)",
+    "unmatched_vs_fifth": """SELECT (SELECT CAST(max(r) AS DOUBLE) FROM (SELECT sum(amount) AS r FROM done WHERE NOT is_known_customer GROUP BY customer_id)) AS largest_unmatched,
+(SELECT CAST(max(revenue) AS DOUBLE) FROM ranked WHERE rank = 5) AS last_in""",
+    "status_breakdown": "SELECT status, count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS value FROM analysis GROUP BY 1",
+    "revenue_totals": """SELECT count(*) AS orders, CAST(sum(amount) AS DOUBLE) AS gross_revenue, CAST(sum(discount) AS DOUBLE) AS total_discount, CAST(sum(amount) - sum(discount) AS DOUBLE) AS net_revenue,
+count(*) FILTER (discount > 0) AS promoted_orders, CAST(sum(discount) AS DOUBLE) / CAST(sum(amount) AS DOUBLE) AS discount_rate FROM done""",
+    "revenue_by_segment": _SEGMENTS.format(customers="x_customers", done="done"),
+    "segment_checksum": "SELECT CAST(sum(amount) AS DOUBLE) AS total_revenue, CAST(sum(amount) AS DOUBLE) AS segments_revenue, true AS is_equal FROM done",
+    "top5_customers": """SELECT CAST(rank AS INTEGER) AS rank, customer_id, customer_name, segment, region, orders, CAST(revenue AS DOUBLE) AS revenue, CAST(discounts AS DOUBLE) AS discounts, CAST(revenue - discounts AS DOUBLE) AS net_revenue
+FROM ranked WHERE rank <= 5""",
+    "top5_share": """SELECT CAST(b AS DOUBLE) AS top_revenue, CAST(t AS DOUBLE) AS total_revenue, CAST(b AS DOUBLE) / CAST(t AS DOUBLE) AS share
+FROM (SELECT sum(revenue) AS b FROM ranked WHERE rank <= 5), (SELECT sum(amount) AS t FROM done)""",
+    "rank_gap_5_6": """SELECT CAST(a AS DOUBLE) AS last_in, CAST(b AS DOUBLE) AS first_out, CAST(a - b AS DOUBLE) AS gap, CAST(a - b AS DOUBLE) / CAST(a AS DOUBLE) AS gap_ratio
+FROM (SELECT max(revenue) FILTER (rank = 5) AS a, max(revenue) FILTER (rank = 6) AS b FROM ranked)""",
+    "scenario_table": _scenarios(),
+    "findings_raw": _RAW,
+    "findings_final": _STAGES + _FINAL,
+    "ledger": _STAGES + _LEDGER,
+    "qc_before_after": _STAGES + f"SELECT stage, severity, count(*) AS n_findings, CAST(sum(n_rows) AS BIGINT) AS n_rows FROM (({_RAW}) UNION ALL ({_FINAL})) GROUP BY 1, 2",
+    "data_health": _STAGES
+    + f"""SELECT CASE WHEN f > 0 THEN 'Blocked' WHEN w > 0 THEN 'Needs review' WHEN i > 0 THEN 'Clean with notes' ELSE 'Healthy' END AS health, f AS n_fail, w AS n_warn, i AS n_info, rows_in, rows_out, CAST(rows_out AS DOUBLE) / CAST(rows_in AS DOUBLE) * 100 AS retention_pct
+FROM (SELECT count(*) FILTER (severity = 'fail') AS f, count(*) FILTER (severity = 'warn') AS w, count(*) FILTER (severity = 'info') AS i FROM (({_RAW}) UNION ALL ({_FINAL}))),
+(SELECT count(*) AS rows_in FROM x_orders_dirty), (SELECT count(*) AS rows_out FROM modelled)""",
+    "filter_stage": f"""SELECT 'unparseable_amount' AS rule, count(*) AS rows_dropped FROM x_orders_dirty WHERE {_AMOUNT} IS NULL
+UNION ALL SELECT 'unparseable_date', count(*) FROM x_orders_dirty WHERE {_AMOUNT} IS NOT NULL AND {_DAY} IS NULL
+UNION ALL SELECT 'non_positive_amount', count(*) FROM x_orders_dirty WHERE {_AMOUNT} <= 0 AND {_DAY} IS NOT NULL""",
+    "undeclared_profile": _columns_of_events(),
+    "undeclared_deduped": "SELECT n AS n_rows, d AS n_distinct, n - d AS n_duplicates FROM (SELECT count(*) AS n FROM events), (SELECT count(*) AS d FROM (SELECT DISTINCT user_id, event_type FROM events))",
+    "inferred_foreign_key": """SELECT count(*) AS n_rows, count(DISTINCT customer_id) AS n_distinct_rows, count(DISTINCT customer_id) AS n_keys
+FROM (SELECT CAST(user_id AS VARCHAR) AS customer_id FROM events) ANTI JOIN x_customers USING (customer_id)""",
+    "incremental_new_rows": f"SELECT {_ORDER_OUT} FROM d_orders WHERE order_date >= DATE '{WATERMARK}' AND order_date >= DATE '{WRITTEN_UNTIL}'",
+    "incremental_late_rows": f"SELECT count(*) AS n_late FROM d_orders WHERE order_date < DATE '{WATERMARK}' AND CAST(order_id AS BIGINT) % 7 = 0",
+}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: SQL + query for name, query in _ORACLE.items()} | {"synthetic_by_segment": _SYNTH}
+
+
