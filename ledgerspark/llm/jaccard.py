@@ -3,7 +3,7 @@
 Exact, by prefixes of the sets in one order of all shingles (rare ones first), with what sets have in common put to use:
 
 * equal sets are one class, of which the smallest id is compared;
-* answers are handed on: a few leading shingles of each set name a leader, the set's similarity to it is computed, and
+* answers are handed on: a few shingles of each set, those of lowest hash, name leaders, the set's similarity to it is computed, and
   sets that are similar enough share the leader's component from then on, so that no two of them are compared again;
 * the index of prefix shingles skips: lists within one component as a whole, and in the others, ordered by size, the
   blocks whose sizes or positions rule a link out. What is left is counted, and pairs that share too few prefix
@@ -36,7 +36,7 @@ from .components import components
 WORDS = 5
 #: Similarity as a fraction: a link needs DENOMINATOR * intersection >= NUMERATOR * union.
 NUMERATOR, DENOMINATOR = 75, 100
-#: Leading shingles by which leaders are found, and leaders that a set is compared with.
+#: Shingles of lowest hash by which leaders are found, and leaders that a set is compared with.
 HEAD, LEADERS = 8, 2
 #: Texts from which the order of shingles is estimated; shingles in so many of them are put last; of those, at most.
 SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 4000, 3, 500_000
@@ -151,15 +151,14 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return shingles, rank
 
 
-def _profiles(docs: DataFrame, order) -> DataFrame:
-    """doc_id, n, digest of the set, its leading shingles."""
+def _profiles(docs: DataFrame) -> DataFrame:
+    """doc_id, n, digest of the set, its head: the shingles of lowest hash, which sets share as they share the rest."""
 
     def run(batches):
-        frequent, rank = order.value
         for batch in batches:
             for part in _batches(batch):
                 sets = shingle_sets(part.column("text").to_pylist())
-                heads = [ordered(s, frequent, rank)[:HEAD].view(np.int64) for s in sets]
+                heads = [s[:HEAD].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -203,7 +202,7 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def _leaders(profiles: DataFrame) -> DataFrame:
-    """Pairs (a, b): each class and the few leaders with which it shares most leading shingles."""
+    """Pairs (a, b): each class and the few leaders with which it shares most of its head."""
     heads = profiles.select("doc_id", "n", F.explode("head").alias("shingle"))
     leader = heads.groupBy("shingle").agg(F.min(F.struct("doc_id", "n")).alias("leader"), F.count("*").alias("times")).where("times > 1")
     met = (
@@ -342,7 +341,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     common.ship(spark)
     docs = common.id_and_text(docs)
     order = spark.sparkContext.broadcast(frequent_shingles(docs))
-    profiles = common.stored(_profiles(docs, order))
+    profiles = common.stored(_profiles(docs))
     filled = profiles.where("n > 0")
     classes = common.stored(filled.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("rows")))
     copies = common.stored(
@@ -360,7 +359,7 @@ def similar_components(docs: DataFrame) -> DataFrame:
     dealt = _postings(rest, order, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
     far = common.stored(_compared(texts, common.stored(_candidates(dealt))))
 
-    whole = common.stored(components(near.union(far)))
+    whole = common.stored(components(groups.toDF("a", "b").union(far)))
     by_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     found = filled.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return found.union(profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
