@@ -11,7 +11,7 @@ Exact, by prefixes of the sets in one order of all shingles (rare ones first), w
 
 The leaders only save work: the index covers every set, so a link between components that exists is found.
 
-The order rests on a sample of `SAMPLE_ROWS` texts; any order gives the same result. Shingles are 64-bit hashes.
+The order rests on a sample of the texts; any order gives the same result. Shingles are 64-bit hashes.
 Ids that are looked up while texts are read are broadcast if their count allows, and joined by a shuffle else.
 
 Cases: a null text, or one without words, has an empty set and no link; its component is its own id. A text of fewer
@@ -38,8 +38,9 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles of lowest hash by which leaders are found, and leaders that a set is compared with.
 HEAD, LEADERS = 8, 2
-#: Texts from which the order of shingles is estimated; shingles in so many of them are put last; of those, at most.
-SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 4000, 3, 500_000
+#: The order of shingles is estimated from one text in so many, but from so many texts at least; shingles in so many of
+#: those are put last; of such, at most.
+SAMPLE_EVERY, SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 16, 4000, 3, 1_000_000
 #: Words that a worker remembers the hash of.
 MEMO_ENTRIES = 400_000
 
@@ -130,18 +131,30 @@ def _batches(batch: pa.RecordBatch, rows: int = 500):
 
 
 def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that many texts of the sample share, sorted, and their ranks by frequency."""
-    every = max(1, docs.count() // SAMPLE_ROWS)
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0).repartition(1)
+    """Shingles that several texts of the sample share, sorted, and their ranks by frequency.
 
-    def run(batches):
-        sets = [s for batch in batches for part in _batches(batch) for s in shingle_sets(part.column("text").to_pylist())]
-        found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
-        found, times = found[times >= FREQUENT], times[times >= FREQUENT]
-        most = np.argsort(-times, kind="stable")[:FREQUENT_ENTRIES]
-        yield pa.RecordBatch.from_arrays([pa.array(found[most].view(np.int64)), pa.array(times[most].astype(np.int64))], ["shingle", "times"])
+    The sample is a fixed share of the texts, so that the lists of the others stay as short however large the corpus.
+    If there are more than `FREQUENT_ENTRIES`, those above the frequency that leaves so many.
+    """
+    every = min(SAMPLE_EVERY, max(1, docs.count() // SAMPLE_ROWS))
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == 0)
 
-    rows = sample.mapInArrow(run, "shingle long, times long").toArrow()
+    def run(batches):
+        for batch in batches:
+            sets = [s for part in _batches(batch) for s in shingle_sets(part.column("text").to_pylist())]
+            found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int32))], ["shingle", "times"])
+
+    counted = sample.mapInArrow(run, "shingle long, times int").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
+    counted = common.stored(counted)
+    least, entries = FREQUENT, 0
+    by_times = counted.groupBy(F.least("times", F.lit(100_000)).alias("times")).agg(F.count("*").alias("n"))
+    for row in by_times.orderBy(F.desc("times")).collect():  # at most 100,000 rows
+        if entries + row.n > FREQUENT_ENTRIES:
+            least = row.times + 1
+            break
+        entries += row.n
+    rows = counted.where(F.col("times") >= least).toArrow()
     shingles, times = (np.asarray(rows.column(c).to_numpy()) for c in ("shingle", "times"))
     shingles = shingles.view(np.uint64)
     at = np.argsort(shingles)
