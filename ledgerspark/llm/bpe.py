@@ -235,10 +235,13 @@ class FastCodec(TokenCodec):
         ranks = {b: i for i, b in vocabulary.bytes_of.items() if i not in vocabulary.special.values()}
         self.library = tiktoken.Encoding("words", pat_str=vocabulary.words.pattern, mergeable_ranks=ranks, special_tokens={})
 
-    def _word(self, word: str) -> bytes:
-        ids = self.library._encode_single_piece(word.encode())
+    def _words(self, text: str) -> bytes:
+        ids = self.library.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
+    def _piece(self, piece: str) -> bytes | None:
+        return self._words(" " + piece) if _stands_alone(piece) else None
+
 
 _MADE: dict[tuple, object] = {}
 
