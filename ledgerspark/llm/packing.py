@@ -3,8 +3,9 @@
 A document is its ids and an end id. Whole windows are cut off its front; what is left, shorter than a window, is
 counted in a histogram of lengths (window - 1 numbers, whatever the corpus). Combinations of up to three lengths that
 fill a window, and single lengths that need no padding, are enumerated; non-negative least squares finds how often to
-use each so that the histogram is met; the counts are rounded to what is there, and what remains is packed greedily,
-end to end, cut where a window is full. The last window's rest is cut into powers of two, which need no padding.
+use each so that the histogram is met; counts are rounded up, the largest first, as far as there are remainders left for
+them. What then remains is packed greedily, end to end, cut where a window is full. The last window's rest is cut into
+powers of two, which need no padding.
 
 Every remainder's place follows from its length and its rank among those of that length, so no task sees a window's
 or a length's rows together: ranks are counted within a task and shifted by the counts of the tasks before it.
@@ -15,6 +16,7 @@ of all rows share is ranked in as many tasks as hold it. An empty table gives no
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -84,10 +86,10 @@ class Plan:
         if len(lengths):
             wanted = repeat_counts(lengths, left.astype(float))
             for k in np.argsort(-wanted, kind="stable"):
-                if wanted[k] < 0.5:
+                if wanted[k] <= 0:
                     break
                 parts = [int(n) for n in lengths[k] if n]
-                times = min(int(wanted[k] + 0.5), *(int(left[n]) // parts.count(n) for n in set(parts)))
+                times = min(math.ceil(wanted[k]), *(int(left[n]) // parts.count(n) for n in set(parts)))
                 if times > 0:
                     chosen.append((times, tuple(parts)))
                     for n in parts:
