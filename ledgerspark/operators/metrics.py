@@ -128,6 +128,7 @@ def naive_overstatement(orders: DataFrame, promotions: DataFrame, policy: Policy
     )
 
 
+# The labels of the scenario report, in its order.
 SCENARIOS = (
     "Baseline (completed only, discounts capped)",
     "Include refunded as revenue (gross bookings)",

@@ -16,6 +16,7 @@ class Policy:
     unknown_id_block: int = 199_000  # ids from here on are another scheme's
     on_bad_value: str = "drop"  # or "fail"
     top_customers: int = 5
+    # Texts that stand for null.
     null_tokens: tuple[str, ...] = ("", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "<NA>", "#N/A")
     lookback_days: int = 0
 
