@@ -243,18 +243,15 @@ class FastCodec(TokenCodec):
         return self._words(" " + piece) if _stands_alone(piece) else None
 
 
-_MADE: dict[tuple, object] = {}
-
-
 def on_worker(kind: type, name: str, entries: int = MEMO_ENTRIES):
     """The worker's own counter or codec of a public vocabulary; it stays for the worker's later tasks."""
-    key = (kind, name, entries)
-    if key not in _MADE:
+
+    def make():
         import public_tokenizers
 
-        _MADE.clear()  # one at a time, for its memory
-        _MADE[key] = kind(Vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN), entries)
-    return _MADE[key]
+        return kind(Vocabulary(public_tokenizers.path(name), public_tokenizers.PATTERN), entries)
+
+    return common.worker_cache((kind.__name__, name, entries), make)
 
 
 def _texts(batch: pa.RecordBatch) -> Iterator[str]:

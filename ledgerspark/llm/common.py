@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,8 +22,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that Spark hands to Python at once, where the session has its default: texts are long, and both sides hold them.
+BATCH_ROWS, _DEFAULT_BATCH_ROWS = "2000", "10000"
+
+_HELD: dict = {}
+
+
+def worker_cache(key, make: Callable):
+    """What a worker keeps from task to task: the table of one operator at a time, whichever ran last."""
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, so that Python stages import it there."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT_BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_ledgerspark_shipped", False):
         return

@@ -42,7 +42,7 @@ HEAD, LEADERS = 8, 2
 #: those are put last; of such, at most.
 SAMPLE_EVERY, SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 16, 4000, 3, 1_000_000
 #: Words that a worker remembers the hash of.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 300_000
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -55,8 +55,6 @@ class _WordHashes(dict):
         return value
 
 
-_HASHES = _WordHashes()
-
 
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -66,12 +64,13 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
     """Of each text its distinct shingles, as sorted 64-bit hashes."""
+    hashes = common.worker_cache("word hashes", _WordHashes)
     split = [(t or "").encode().lower().split() for t in texts]
     sizes = [len(s) for s in split]
     flat = np.empty(sum(sizes), np.uint64)
     end = 0
     for s in split:
-        flat[end : end + len(s)] = np.fromiter(map(_HASHES.__getitem__, s), np.uint64, len(s))
+        flat[end : end + len(s)] = np.fromiter(map(hashes.__getitem__, s), np.uint64, len(s))
         end += len(s)
     del split
     rolled = flat.copy()

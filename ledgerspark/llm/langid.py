@@ -266,6 +266,7 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches):
+        common.worker_cache("network", dict)
         for part in _parts(batches):
             lang, score = labelled(net, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
