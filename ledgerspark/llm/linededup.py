@@ -16,6 +16,8 @@ overlap their first copy. An empty table gives an empty table.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -88,14 +90,12 @@ def _levels(lines: DataFrame) -> list[DataFrame]:
 
 def _later_copies(lines: DataFrame, levels: list[DataFrame]) -> DataFrame:
     """Places d, u, i that begin like an earlier place fd, fu, fi, for m lines at least."""
-    named = None
-    for k, level in enumerate(levels):
-        own = lines.where((F.col("m") >= 1 << k) & (F.col("m") < 2 << k)).select(*_KEY, "i", "m")
-        begin = own.join(level, [*_KEY, "i"]).withColumnRenamed("r", "x").withColumn("j", F.col("i") + F.col("m") - (1 << k))
-        end = level.select(*_KEY, F.col("i").alias("j"), F.col("r").alias("y"))
-        found = begin.join(end, [*_KEY, "j"]).select(*_KEY, "i", "m", "x", "y", F.lit(k).alias("k"))
-        named = found if named is None else named.union(found)
-    named = common.stored(named.dropDuplicates([*_KEY, "i"]))
+    every = reduce(DataFrame.union, [level.select(F.lit(k).alias("k"), *_KEY, "i", "r") for k, level in enumerate(levels)])
+    # of m lines the largest power of two that fits, 2^k, from either end
+    own = lines.where("m > 0").select(*_KEY, "i", "m", (F.length(F.bin("m")) - 1).alias("k")).where(F.col("k") < len(levels))
+    begin = own.join(every, ["k", *_KEY, "i"]).withColumnRenamed("r", "x").withColumn("j", F.expr("i + m - shiftleft(1L, k)"))
+    end = every.select("k", *_KEY, F.col("i").alias("j"), F.col("r").alias("y"))
+    named = common.stored(begin.join(end, ["k", *_KEY, "j"]).select(*_KEY, "i", "m", "x", "y", "k").dropDuplicates([*_KEY, "i"]))
     intervals = named.groupBy("k", "m", "x", "y").agg(F.min(F.struct("d", "u", "i")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     copies = named.join(intervals, ["k", "m", "x", "y"]).select(*_KEY, "i", "m", F.col("first.d").alias("fd"), F.col("first.u").alias("fu"), F.col("first.i").alias("fi"))
     return copies.where("d <> fd OR u <> fu OR i <> fi")
@@ -112,7 +112,7 @@ def _extended(copies: DataFrame, levels: list[DataFrame]) -> DataFrame:
         # at most one step of each size after the largest, which may repeat no further: lengths add up in binary
         here = levels[k].select(*_KEY, F.col("i").alias("at"), F.col("r").alias("r1"))
         there = levels[k].select(F.col("d").alias("fd"), F.col("u").alias("fu"), F.col("i").alias("fat"), F.col("r").alias("r2"))
-        runs = (
+        runs = common.stored(
             runs.withColumns({"at": F.col("i") + F.col("length"), "fat": F.col("fi") + F.col("length")})
             .join(here, [*_KEY, "at"], "left")
             .join(there, ["fd", "fu", "fat"], "left")
