@@ -7,7 +7,8 @@ before it, by a range-partitioned sort. Places whose stretch is unique leave; th
 Two stretches that cover a run's first `min_words` words (whole lines, their ends overlapping) name it: places that
 share such a name are an interval of the suffix array whose common prefix is at least that long. The first place of an
 interval stays. The others are later copies: each is deleted as far as it equals the first, which is its longest
-common prefix, found level by level. A run of fewer words isn't touched, so short stock lines stay.
+common prefix, found level by level. A run of fewer words isn't touched. `MIN_WORDS` is one: every line with
+a word that stands anywhere before is deleted, however short, and lines without a word go with the runs they stand in.
 
 Places are ordered by document id and line. Documents with the same id and text are one document here: both are cut
 alike. Cases: null and empty texts have no lines and stay as they are. A null id comes after all others. Runs may
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 
 from . import common
 
-#: Words that a repeated run has at least.
-MIN_WORDS = 50
+#: Words that a repeated run has at least: one, so that a single line is a run.
+MIN_WORDS = 1
 _KEY = ["d", "u"]
 _LAST = (1 << 63) - 1
 

@@ -171,6 +171,14 @@ def test_repeated_line_runs(spark, least):
     assert {r.doc_id: tuple(r)[1:] for r in got} == cut(rows, least)
 
 
+def test_every_later_copy_of_a_line_goes(spark):
+    """With the production floor: short lines too, and runs that a place other than the first goes on with."""
+    passage, after = " ".join(f"w{k}" for k in range(60)), "one\ntwo words"
+    rows = [(1, passage), (2, f"{passage}\n{after}"), (3, f"{passage}\n{after}"), (4, "licensed under x\nown"), (5, "else\nlicensed under x"), (6, "else")]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: (r.text, r.n_deleted) for r in got} == {1: (passage, 0), 2: (after, 1), 3: ("", 3), 4: ("licensed under x\nown", 0), 5: ("else", 1), 6: ("", 1)}
+
+
 def test_lines_of_documents(documents, odd, nothing):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert {r.doc_id: tuple(r)[1:] for r in linededup.line_digests(documents).collect()} == cut(rows, linededup.MIN_WORDS)
