@@ -28,6 +28,9 @@ from . import common
 #: Entries that a worker keeps of pieces and of words; beyond that a table starts anew.
 MEMO_ENTRIES = 400_000
 
+#: Characters up to which the compiled library may split a text: its split panics on some 1,000,000 white-space characters in a row.
+SPLIT_BY_LIBRARY = 500_000
+
 #: Fixed value: how the library writes each byte as a printable character in vocabulary strings.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 
@@ -235,7 +238,13 @@ class FastCodec(TokenCodec):
         ranks = {b: i for i, b in vocabulary.bytes_of.items() if i not in vocabulary.special.values()}
         self.library = tiktoken.Encoding("words", pat_str=vocabulary.words.pattern, mergeable_ranks=ranks, special_tokens={})
 
+    def _word(self, word: str) -> bytes:
+        ids = self.library._encode_single_piece(word.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
     def _words(self, text: str) -> bytes:
+        if len(text) > SPLIT_BY_LIBRARY:
+            return b"".join(map(self._word, self.vocabulary.words.findall(text)))
         ids = self.library.encode_ordinary(text)
         return struct.pack(f"<{len(ids)}I", *ids)
 

@@ -33,6 +33,12 @@ def test_any_text_as_the_library_has_it(text):
     assert CODEC.decode(ids) == LIBRARY.decode(np.frombuffer(ids, "<u4").tolist(), skip_special_tokens=False)
 
 
+@pytest.mark.parametrize("run", [" ", "\n", " \n", "\u3000"])
+def test_very_long_runs_of_white_space(run):
+    for text in (run * (1_500_000 // len(run)), "the" + run * (1_500_000 // len(run)) + "end of  it", "a word " * 200_000 + run * 3):
+        assert FAST.encode(text) == library(text)
+
+
 def test_memory_stays_bounded_and_right():
     for k in range(2_000):
         COUNTER.count(f"text number {k} has w{k}")
@@ -117,3 +123,11 @@ def test_packing_of_documents(documents, odd, nothing):
                 end += length
             assert end == 1024 or end & (end - 1) == 0
     assert packing.packed(nothing).count() == 0
+
+
+def test_packing_takes_very_long_runs_of_white_space(spark):
+    texts = {1: "start" + " " * 1_500_000 + "end", 2: "\n" * 1_500_000, 3: "short"}
+    tokens = defaultdict(int)
+    for r in packing.packed(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        tokens[r.doc_id] += r.length
+    assert tokens == {i: len(library(t)) // 4 + 1 for i, t in texts.items()}
