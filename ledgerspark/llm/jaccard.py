@@ -1,23 +1,27 @@
-"""Jaccard join of word shingles: links between texts whose sets of shingles are alike, and their components.
+"""Jaccard join of word shingles: links between texts whose sets of shingles are alike, their numbers and components.
 
 Exact, by prefixes of the sets in one order of all shingles (rare ones first), with what sets have in common put to use:
 
 * equal sets are one class, of which the smallest id is compared;
 * answers are handed on: a few shingles of each set, those of lowest hash, name leaders, the set's similarity to it is computed, and
-  sets that are similar enough share the leader's component from then on, so that no two of them are compared again;
+  sets that are similar enough share the leader's component from then on, within which the index pairs no two of them;
 * the index of prefix shingles skips: lists within one component as a whole, and in the others, ordered by size, the
   blocks whose sizes or positions rule a link out. What is left is counted, and pairs that share too few prefix
-  shingles for the rest to make up are dropped; the others are compared in full.
+  shingles for the rest to make up are dropped; the others are compared in full;
+* the links within a leader's component are counted block by block: every set meets every other there, and only counts
+  leave, so that no pair becomes a row. With the links between components these are all links.
 
 The leaders only save work: the index covers every set, so a link between components that exists is found.
 
 The order rests on a sample of the texts; any order gives the same result. Shingles are 64-bit hashes.
 Ids that are looked up while texts are read are broadcast if their count allows, and joined by a shuffle else.
 
+A row's number of links counts rows: the others of its class and all of the classes that are similar enough.
+
 Cases: a null text, or one without words, has an empty set and no link; its component is its own id. A text of fewer
 words than a shingle has one shingle, the sequence of its words. Repeated rows are rows of one class. Rows that share an id
-count as one document where components are joined. A null id has a null component unless its class has an id. An empty
-table gives an empty table.
+count as one document where components are joined. A null id has a null component, and a null number of links, unless
+its class has an id. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ HEAD, LEADERS = 8, 2
 #: The order of shingles is estimated from one text in so many, but from so many texts at least; shingles in so many of
 #: those are put last; of such, at most.
 SAMPLE_EVERY, SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 16, 4000, 3, 1_000_000
+#: Sets of a leader's component that are compared with as many others at once.
+BLOCK = 128
 #: Words that a worker remembers the hash of.
 MEMO_ENTRIES = 300_000
 
@@ -347,8 +353,77 @@ def _candidates(postings: DataFrame) -> DataFrame:
     return counted.where(F.col("shared") + beyond >= need).select("a", "b")
 
 
-def similar_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest id reachable by links) of every row."""
+def block_links(sets: list[np.ndarray], rows: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Of each set the rows of the similar ones on the other side; if all sets are on the left, of all the others."""
+    sizes = np.array([len(s) for s in sets])
+    ends = np.cumsum(sizes)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    links = np.zeros(len(sets), np.int64)
+    one_side = bool(left.all())
+    others = np.arange(len(sets)) if one_side else np.flatnonzero(~left)
+    if not len(others):
+        return links
+    there = code if one_side else np.concatenate([code[ends[j] - sizes[j] : ends[j]] for j in others])
+    begins = np.cumsum(sizes[others]) - sizes[others]
+    here = np.zeros(int(code.max()) + 1, np.uint8)
+    for i in np.flatnonzero(left):
+        own = code[ends[i] - sizes[i] : ends[i]]
+        here[own] = 1
+        shared = np.add.reduceat(here[there], begins, dtype=np.int64)
+        here[own] = 0
+        similar = others[DENOMINATOR * shared >= NUMERATOR * (sizes[i] + sizes[others] - shared)]
+        if one_side:
+            links[i] = rows[similar].sum() - rows[i]
+        else:
+            links[i] = rows[similar].sum()
+            links[similar] += rows[i]
+    return links
+
+
+def _links_within(docs: DataFrame, groups: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
+    """doc_id, links: of each set in a leader's component the rows of the similar sets there, a part for each block."""
+    blocks = common.stored(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
+    nodes = common.beside(groups.withColumnRenamed("node", "doc_id").join(rows, "doc_id"), blocks, ["component"], "inner")
+    nodes = common.stored(nodes.select("doc_id", "component", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "blocks", "rows"))
+    names = ["doc_id", "component", "block", "blocks", "rows"]
+
+    def sets(batches):
+        for batch in batches:
+            for part in _batches(batch):
+                blobs = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist())]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "shingles"])
+
+    def count(batches):
+        def counted(key, held):
+            links = block_links([s for _, _, s in held.values()], np.array([n for n, _, _ in held.values()]), np.array([block == key[1] for _, block, _ in held.values()]))
+            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(links)], ["doc_id", "links"])
+
+        key, held = None, {}
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("component", "low", "high", "doc_id", "rows", "block")]
+            for *own, doc_id, n, block, blob in zip(*columns, batch.column("shingles")):
+                if own != key and held:
+                    yield counted(key, held)
+                    held = {}
+                key = own
+                if doc_id not in held:  # repeated rows are one set
+                    held[doc_id] = n, block, np.frombuffer(blob.as_py(), np.uint64)
+        if held:
+            yield counted(key, held)
+
+    found = common.beside(docs, nodes, ["doc_id"], "inner").select(*names, "text").mapInArrow(sets, ", ".join(f"{c} long" for c in names) + ", shingles binary")
+    met = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
+        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "rows", "block", "shingles"
+    )
+    dealt = met.repartition(parts, "component", "low", "high").sortWithinPartitions("component", "low", "high")
+    return dealt.mapInArrow(count, "doc_id long, links long")
+
+
+def similar_components(docs: DataFrame, links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest id reachable by links), n_links (rows linked to it) of every row.
+
+    Without `links` these aren't counted and their column is left out.
+    """
     spark = docs.sparkSession
     common.ship(spark)
     docs = common.id_and_text(docs)
@@ -369,16 +444,26 @@ def similar_components(docs: DataFrame) -> DataFrame:
     rest = common.beside(texts, known, ["doc_id"], "left").where(~F.coalesce("copy", F.lit(False))).select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = _postings(rest, order, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
-    far = common.stored(_compared(texts, common.stored(_candidates(dealt))))
+    far = common.stored(_compared(texts, common.stored(_candidates(dealt))).distinct())
 
     whole = common.stored(components(groups.toDF("a", "b").union(far)))
-    by_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    found = filled.select("doc_id", "n", "digest").join(by_class, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    return found.union(profiles.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    by_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("digest", "rep", "rows", F.coalesce("component", "rep").alias("component_id"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    if links:
+        rows = classes.select(F.col("rep").alias("doc_id"), "rows")
+        between = far.union(far.select("b", "a")).toDF("a", "doc_id").join(rows, "doc_id").select(F.col("a").alias("doc_id"), F.col("rows").alias("links"))
+        linked = _links_within(texts, groups, rows, parts).union(between).groupBy("doc_id").agg(F.sum("links").alias("links"))
+        linked = common.stored(linked).withColumnRenamed("doc_id", "rep")
+        of_class = F.when(F.col("rep").isNotNull(), F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
+        by_class = by_class.join(linked, "rep", "left").withColumn("n_links", of_class)
+        out.append("n_links")
+    found = filled.select("doc_id", "n", "digest").join(by_class.drop("rep", "rows", "links"), "digest", "left").select(*out)
+    empty = profiles.where("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return found.union(empty.select(*out))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row of each component, that with the smallest id; all columns. Rows with a null id stay."""
-    found = similar_components(docs)
+    found = similar_components(docs, links=False)
     gone = common.stored(found.where("doc_id <> component_id").select("doc_id").distinct())
     return common.beside(docs, gone, ["doc_id"], "left_anti")

@@ -106,6 +106,32 @@ def test_chains_copies_and_shared_passages(spark):
     assert kept == {c for _, c in near(rows).values()}
 
 
+def links(rows):
+    sets = [shingles(t) for _, t in rows]
+    similar = lambda s, t: bool(s and t) and 100 * len(s & t) >= 75 * len(s | t)
+    return sorted((i, sum(similar(s, t) for t in sets) - bool(s)) for (i, _), s in zip(rows, sets))
+
+
+def test_links_are_all_counted(spark, documents, odd):
+    """Near copies with different texts, of which not all are linked, in several blocks; copies; links between groups."""
+    rng = random.Random(7)
+    text = [f"w{rng.randrange(500)}" for _ in range(150)]
+    rows = []
+    for i in range(330):
+        own = list(text)
+        for _ in range(rng.randint(0, 5)):
+            own[rng.randrange(len(own))] = f"x{rng.randrange(900)}"
+        rows.append((i, " ".join(own)))
+    rows += [(1000 + i, rows[i][1].upper()) for i in range(0, 330, 7)] + [(2000, ""), (2001, None), (2002, "alone " * 9)]
+    edges = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).select("doc_id", "n_links").collect()
+    want = links(rows)
+    assert len({n for _, n in want}) > 20 and sorted(map(tuple, edges)) == want
+    for table in (documents, odd):
+        rows = [(r.doc_id, r.text) for r in table.collect()]
+        got = [(r.doc_id, r.n_links) for r in jaccard.similar_components(table).collect()]
+        assert sorted(r for r in got if r[0] is not None) == [r for r in links([r for r in rows if r[0] is not None])]
+
+
 def test_lists_lose_no_pair():
     """Pairs that prefixes, sizes, positions and counts leave are a superset of the links, whatever the order."""
     rng = np.random.default_rng(3)
