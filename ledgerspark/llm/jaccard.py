@@ -81,7 +81,8 @@ def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray
     del split
     rolled = flat.copy()
     for k in range(1, words):
-        rolled[: len(flat) - k] = rolled[: len(flat) - k] * _STEP + flat[k:]
+        end = max(0, len(flat) - k)
+        rolled[:end] = rolled[:end] * _STEP + flat[k:]
     rolled = _mixed(rolled)
     out, begin = [], 0
     for n in sizes:

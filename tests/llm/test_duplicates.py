@@ -132,6 +132,19 @@ def test_links_are_all_counted(spark, documents, odd):
         assert sorted(r for r in got if r[0] is not None) == [r for r in links([r for r in rows if r[0] is not None])]
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5])
+def test_slices_of_few_words(n):
+    words = "a b c d e".split()[:n]
+    assert [len(s) for s in jaccard.shingle_sets([" ".join(words)])] == [min(n, 1)]
+    alone, beside = jaccard.shingle_sets([" ".join(words)])[0], jaccard.shingle_sets(["f g h i j k", " ".join(words)])[1]
+    assert alone.tolist() == beside.tolist()
+
+
+def test_table_of_one_short_text(spark):
+    got = jaccard.similar_components(spark.createDataFrame([(278, "Anouble thwh.")], "doc_id long, text string")).collect()
+    assert [tuple(r) for r in got] == [(278, 1, 278, 0)]
+
+
 def test_lists_lose_no_pair():
     """Pairs that prefixes, sizes, positions and counts leave are a superset of the links, whatever the order."""
     rng = np.random.default_rng(3)
