@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 import zipfile
@@ -13,6 +14,7 @@ from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _PACKAGE = Path(__file__).resolve().parent.parent
 
@@ -22,8 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Rows that Spark hands to Python at once, where the session has its default: texts are long, and both sides hold them.
-BATCH_ROWS, _DEFAULT_BATCH_ROWS = "2000", "10000"
+#: Rows that Spark hands to Python at once while a table is stored, where the session has its default: texts are long,
+#: and both sides hold them.
+BATCH_ROWS, _DEFAULT_BATCH_ROWS, _BATCH_CONF = "2000", "10000", "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _HELD: dict = {}
 
@@ -41,8 +44,6 @@ def worker_cache(key, make: Callable):
 
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, so that Python stages import it there."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == _DEFAULT_BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     context = spark.sparkContext
     if getattr(context, "_ledgerspark_shipped", False):
         return
@@ -55,25 +56,75 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where that is unset."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = Path(tempfile.gettempdir(), "ledgerspark-checkpoints").as_uri()
-    return folder
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, our own on one machine only."""
+    context = spark.sparkContext
+    folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not re.match(r"local(\[|$)", context.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return Path(tempfile.gettempdir(), "ledgerspark-checkpoints").as_uri()
+
+
+@contextlib.contextmanager
+def _small_batches(spark: SparkSession):
+    """Python gets few rows at once meanwhile; the session's own setting comes back."""
+    before = spark.conf.get(_BATCH_CONF)
+    if before != _DEFAULT_BATCH_ROWS:
+        yield
+        return
+    spark.conf.set(_BATCH_CONF, BATCH_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_CONF, before)
+
+
+#: What `stored` has written in the innermost `temporaries`.
+_WRITTEN: list[set[str]] = []
 
 
 def stored(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends here, lost executors cost nothing.
 
-    The files go when the application ends.
+    The files go by `dropped`, at the end of `temporaries`, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/ledgerspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
+    system, where = _file_system(spark, path)
+    system.deleteOnExit(where)
+    if _WRITTEN:
+        _WRITTEN[-1].add(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.stored_path = path
+    return back
+
+
+def _file_system(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more."""
+    for df in tables:
+        system, where = _file_system(df.sparkSession, df.stored_path)
+        system.delete(where, True)
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession):
+    """Tables stored meanwhile are deleted at the end, but for those added to the set that this gives."""
+    keep: set[str] = set()
+    _WRITTEN.append(set())
+    try:
+        yield keep
+    finally:
+        for path in _WRITTEN.pop() - keep:
+            system, where = _file_system(spark, path)
+            system.delete(where, True)
 
 
 def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
@@ -86,16 +137,31 @@ def hashed_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     return df.where(F.pmod(own, F.lit(every)) == 0).orderBy(own, *keys).limit(rows)
 
 
-#: Rows of ids, digests and the like up to which a table is broadcast (some 60 bytes each); beyond, it is shuffled.
-BROADCAST_ROWS = 2_000_000
+#: Bytes up to which a table is broadcast; beyond, it is shuffled.
+BROADCAST_BYTES = 48_000_000
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """About what a row takes in memory, its strings, binaries and arrays as long as they are."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        own = F.lit(8)
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            own = F.octet_length(f.name) + 16
+        elif isinstance(f.dataType, T.ArrayType):
+            each = len(f.dataType.elementType.fields) + 2 if isinstance(f.dataType.elementType, T.StructType) else 1
+            own = F.size(f.name) * 8 * each + 16
+        total = total + F.greatest(F.coalesce(own, F.lit(0)), F.lit(8)).cast("long")
+    return total
 
 
 def beside(large: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join a table to one that is mostly far smaller: by broadcast if its counted rows allow, else by a shuffle.
+    """Join a table to one that is mostly far smaller: by broadcast if its measured bytes allow, else by a shuffle.
 
-    `small` should be a stored table: it is counted here.
+    `small` should be a stored table: it is read here.
     """
-    return large.join(F.broadcast(small) if small.count() <= BROADCAST_ROWS else small, keys, how)
+    size = small.agg(F.sum(_row_bytes(small)).alias("size")).first().size or 0
+    return large.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, keys, how)
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -3,18 +3,18 @@
 Exact, by prefixes of the sets in one order of all shingles (rare ones first), with what sets have in common put to use:
 
 * equal sets are one class, of which the smallest id is compared;
-* answers are handed on: a few shingles of each set, those of lowest hash, name leaders, the set's similarity to it is computed, and
-  sets that are similar enough share the leader's component from then on, within which the index pairs no two of them;
-* the index of prefix shingles skips: lists within one component as a whole, and in the others, ordered by size, the
-  blocks whose sizes or positions rule a link out. What is left is counted, and pairs that share too few prefix
-  shingles for the rest to make up are dropped; the others are compared in full;
-* the links within a leader's component are counted block by block: every set meets every other there, and only counts
-  leave, so that no pair becomes a row. With the links between components these are all links.
+* the few shingles of lowest hash of each set name leaders, sets that a set may be much like. It is compared with those,
+  and becomes a member of the family of the first to which it is related (a third of their shingles is enough). All
+  links within a family are derived from what its members have in common with the leader and from how they differ from it (``families``);
+* the index of prefix shingles finds the links between families and all other sets. It skips: lists of one family as a
+  whole, and in the others, ordered by size, the blocks whose sizes or positions rule a link out. What is left is counted,
+  and pairs that share too few prefix shingles for the rest to make up are dropped; the others are compared in full.
 
-The leaders only save work: the index covers every set, so a link between components that exists is found.
+Families only save work: whichever sets they hold, each pair of sets is either in one family or covered by the index.
 
-The order rests on a sample of the texts; any order gives the same result. Shingles are 64-bit hashes.
-Ids that are looked up while texts are read are broadcast if their count allows, and joined by a shuffle else.
+The order rests on a sample of the texts; any order gives the same result. Shingles are 64-bit hashes. A list that the
+sample shows to be long is dealt to several tasks, a task for each pair of its parts. Ids that are looked up while texts
+are read are broadcast if their bytes allow, and joined by a shuffle else.
 
 A row's number of links counts rows: the others of its class and all of the classes that are similar enough.
 
@@ -30,82 +30,25 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 from .components import components
+from .families import DENOMINATOR, NUMERATOR, Members, difference, weight
+from .shingles import shingle_sets, slices
 
-WORDS = 5
-#: Similarity as a fraction: a link needs DENOMINATOR * intersection >= NUMERATOR * union.
-NUMERATOR, DENOMINATOR = 75, 100
 #: Shingles of lowest hash by which leaders are found, and leaders that a set is compared with.
-HEAD, LEADERS = 8, 2
+HEAD, LEADERS = 8, 3
+#: A member shares this part of the union with its leader: 1 / RELATED.
+RELATED = 3
+#: A family's sets are dealt to blocks of LEAST_BLOCK to MOST_BLOCK, BLOCKS of them if they are within that.
+LEAST_BLOCK, MOST_BLOCK, BLOCKS = 256, 8192, 8
 #: The order of shingles is estimated from one text in so many, but from so many texts at least; shingles in so many of
 #: those are put last; of such, at most.
 SAMPLE_EVERY, SAMPLE_ROWS, FREQUENT, FREQUENT_ENTRIES = 16, 4000, 3, 1_000_000
-#: Sets of a leader's component that are compared with as many others at once.
-BLOCK = 128
-#: Words that a worker remembers the hash of.
-MEMO_ENTRIES = 300_000
-
-_STEP = np.uint64(0x9E3779B97F4A7C15)
-
-
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def shingle_sets(texts: list[str | None], words: int = WORDS) -> list[np.ndarray]:
-    """Of each text its distinct shingles, as sorted 64-bit hashes."""
-    hashes = common.worker_cache("word hashes", _WordHashes)
-    split = [(t or "").encode().lower().split() for t in texts]
-    sizes = [len(s) for s in split]
-    flat = np.empty(sum(sizes), np.uint64)
-    end = 0
-    for s in split:
-        flat[end : end + len(s)] = np.fromiter(map(hashes.__getitem__, s), np.uint64, len(s))
-        end += len(s)
-    del split
-    rolled = flat.copy()
-    for k in range(1, words):
-        end = max(0, len(flat) - k)
-        rolled[:end] = rolled[:end] * _STEP + flat[k:]
-    rolled = _mixed(rolled)
-    out, begin = [], 0
-    for n in sizes:
-        if n >= words:
-            out.append(_distinct(rolled[begin : begin + n - words + 1]))
-        elif n:
-            h = np.uint64(n)
-            with np.errstate(over="ignore"):
-                for w in flat[begin : begin + n]:
-                    h = h * _STEP + w
-                out.append(_mixed(np.array([h + np.uint64(1)])))
-        else:
-            out.append(np.empty(0, np.uint64))
-        begin += n
-    return out
-
-
-def _distinct(h: np.ndarray) -> np.ndarray:
-    h = np.sort(h)
-    fresh = np.empty(len(h), bool)
-    fresh[:1] = True
-    np.not_equal(h[1:], h[:-1], out=fresh[1:])
-    return h[fresh]
+#: Entries that a task works on at once, on the average, and of a list's part.
+BUCKET_ENTRIES, PART_ENTRIES = 200_000, 50_000
 
 
 def ordered(shingles: np.ndarray, frequent: np.ndarray, rank: np.ndarray) -> np.ndarray:
@@ -131,13 +74,8 @@ def least_size(n):
     return -(-NUMERATOR * n // DENOMINATOR)
 
 
-def _batches(batch: pa.RecordBatch, rows: int = 500):
-    for k in range(0, batch.num_rows, rows):
-        yield batch.slice(k, rows)
-
-
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several texts of the sample share, sorted, and their ranks by frequency.
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Shingles that several texts of the sample share, sorted, their ranks by frequency, and into how many parts their lists go.
 
     The sample is a fixed share of the texts, so that the lists of the others stay as short however large the corpus.
     If there are more than `FREQUENT_ENTRIES`, those above the frequency that leaves so many.
@@ -147,7 +85,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches):
         for batch in batches:
-            sets = [s for part in _batches(batch) for s in shingle_sets(part.column("text").to_pylist())]
+            sets = [s for part in slices(batch) for s in shingle_sets(part.column("text").to_pylist())]
             found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int32))], ["shingle", "times"])
 
@@ -167,7 +105,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     shingles, times = shingles[at], times[at]
     rank = np.empty(len(shingles), np.int64)
     rank[np.lexsort((shingles, times))] = np.arange(len(shingles))
-    return shingles, rank
+    return shingles, rank, 1 + times.astype(np.int64) * every // PART_ENTRIES
 
 
 def _profiles(docs: DataFrame) -> DataFrame:
@@ -175,7 +113,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in _batches(batch):
+            for part in slices(batch):
                 sets = shingle_sets(part.column("text").to_pylist())
                 heads = [s[:HEAD].view(np.int64) for s in sets]
                 yield pa.RecordBatch.from_arrays(
@@ -191,20 +129,25 @@ def _profiles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, n long, digest binary, head array<long>")
 
 
-def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that are similar enough, by their whole sets."""
+def _both_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, other (shingles of a), shingles (of b) of each of the pairs (a, b)."""
 
     def sets(batches):
-        names = None
         for batch in batches:
-            names = batch.schema.names
-            for part in _batches(batch):
+            names = [c for c in batch.schema.names if c != "text"]
+            for part in slices(batch):
                 blobs = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names if c != "text"), pa.array(blobs, pa.binary())], [*(c for c in names if c != "text"), "shingles"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "shingles"])
 
-    of_b = common.beside(docs, pairs.select("a", F.col("b").alias("doc_id")), ["doc_id"], "inner").select(F.col("doc_id").alias("b"), "a", "text").mapInArrow(sets, "b long, a long, shingles binary")
-    of_a = common.beside(docs, pairs.select(F.col("a").alias("doc_id")).distinct(), ["doc_id"], "inner").select(F.col("doc_id").alias("a"), "text").mapInArrow(sets, "a long, shingles binary")
-    both = of_b.join(of_a.withColumnRenamed("shingles", "other"), "a")
+    own = pairs.select("a", F.col("b").alias("doc_id"))
+    other = pairs.select(F.col("a").alias("doc_id")).distinct()
+    of_b = common.beside(docs, own, ["doc_id"], "inner").select(F.col("doc_id").alias("b"), "a", "text").mapInArrow(sets, "b long, a long, shingles binary")
+    of_a = common.beside(docs, other, ["doc_id"], "inner").select(F.col("doc_id").alias("a"), "text").mapInArrow(sets, "a long, shingles binary")
+    return of_b.join(of_a.withColumnRenamed("shingles", "other"), "a").select("a", "b", "shingles", "other")
+
+
+def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that are similar enough, by their whole sets."""
 
     def compare(batches):
         for batch in batches:
@@ -217,7 +160,7 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 similar.append(DENOMINATOR * shared >= NUMERATOR * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
-    return both.select("a", "b", "shingles", "other").mapInArrow(compare, "a long, b long")
+    return _both_sets(docs, pairs).mapInArrow(compare, "a long, b long")
 
 
 def _leaders(profiles: DataFrame) -> DataFrame:
@@ -227,7 +170,7 @@ def _leaders(profiles: DataFrame) -> DataFrame:
     met = (
         heads.join(leader, "shingle")
         .select(F.col("leader.doc_id").alias("a"), F.col("doc_id").alias("b"), F.col("leader.n").alias("na"), F.col("n").alias("nb"))
-        .where((F.col("a") != F.col("b")) & (DENOMINATOR * F.least("na", "nb") >= NUMERATOR * F.greatest("na", "nb")))
+        .where((F.col("a") != F.col("b")) & (RELATED * F.least("na", "nb") >= F.greatest("na", "nb")))
         .groupBy("b", "a")
         .agg(F.count("*").alias("shared"))
         .where("shared > 1")
@@ -236,76 +179,193 @@ def _leaders(profiles: DataFrame) -> DataFrame:
     return best.select("b", F.explode(F.slice(F.transform("found", lambda x: x["a"]), 1, LEADERS)).alias("a")).select("a", "b")
 
 
+def _members(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """leader, doc_id, n (size), nl (the leader's), gone, more: how each set of a family differs from the leader.
+
+    A set goes to the smallest of the leaders (a, b) to which it is related. A leader that goes to no other is a member of its own family.
+    """
+
+    def compare(batches):
+        names = ["leader", "doc_id", "n", "nl", "gone", "more"]
+        for batch in batches:
+            rows: list[tuple] = []
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "shingles", "other"))):
+                s, t = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                gone, more = difference(s, t)
+                if RELATED * (len(s) - len(more)) >= len(t) + len(more):
+                    rows.append((a.as_py(), b.as_py(), len(s), len(t), gone.tobytes(), more.tobytes()))
+            columns = zip(*rows) if rows else [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 4 else pa.binary()) for k, c in enumerate(columns)], names)
+
+    related = _both_sets(docs, pairs).mapInArrow(compare, "leader long, doc_id long, n long, nl long, gone binary, more binary")
+    chosen = common.stored(related.groupBy("doc_id").agg(F.min(F.struct("leader", "n", "nl", "gone", "more")).alias("own")).select("doc_id", "own.*"))
+    nothing = F.lit(b"")
+    leaders = chosen.groupBy(F.col("leader").alias("doc_id")).agg(F.first("nl").alias("nl")).join(chosen.select("doc_id"), "doc_id", "left_anti")
+    return chosen.select(*_MEMBER).union(leaders.select(F.col("doc_id").alias("leader"), "doc_id", F.col("nl").alias("n"), "nl", nothing.alias("gone"), nothing.alias("more")))
+
+
+_MEMBER = ["leader", "doc_id", "n", "nl", "gone", "more"]
+
+
+def _within(members: DataFrame, rows: DataFrame, parts: int, links: bool) -> DataFrame:
+    """doc_id, links (rows it is linked to in its family), joins (a document of its component, or null), a row for each block.
+
+    Without `links` only families with a set that isn't linked to its leader are looked at, and rows aren't counted.
+    """
+    free = weight(F.col("nl"), F.col("n"), F.length("gone") / 4) + weight(F.col("nl"), F.col("nl"), F.lit(0)) > 0
+    sizes = members.groupBy("leader").agg(F.count("*").alias("size"), F.max(free).alias("free"))
+    blocks = F.ceil(F.col("size") / F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.col("size") / BLOCKS)))
+    sizes = common.stored(sizes.where(F.lit(links) | F.col("free")).select("leader", blocks.alias("blocks")))
+    if links:
+        members = members.join(rows, "doc_id")
+    else:
+        members = members.withColumn("rows", F.lit(1).cast("long"))
+    met = (
+        common.beside(members, sizes, ["leader"], "inner")
+        .withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        .select(*_MEMBER, "rows", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    )
+
+    def count(batches):
+        out: list[list] = [[], [], []]
+
+        def finished():
+            columns, out[:] = [pa.array(c, pa.int64()) for c in out], [[], [], []]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "links", "joins"])
+
+        def add(key, held):
+            ids = [r[0] for r in held]
+            gone, more = ([np.frombuffer(r[k], kind) for r in held] for k, kind in ((5, np.uint32), (6, np.uint64)))
+            total, joined = Members(held[0][3], [r[2] for r in held], [r[1] for r in held], [r[4] == key[1] for r in held], gone, more).links(links)
+            for k in np.flatnonzero((total > 0) | (joined != -2)).tolist():
+                join = int(joined[k])
+                for column, value in zip(out, (ids[k], int(total[k]), None if join == -2 else key[0] if join == -1 else ids[join])):
+                    column.append(value)
+
+        key, held = None, []
+        for batch in batches:
+            for *own, doc_id, n_rows, n, nl, block, gone, more in zip(*(batch.column(c).to_pylist() for c in ("leader", "low", "high", "doc_id", "rows", "n", "nl", "block", "gone", "more"))):
+                if own != key and held:
+                    add(key, held)
+                    held = []
+                    if len(out[0]) > 5000:
+                        yield finished()
+                key = own
+                held.append((doc_id, n_rows, n, nl, block, gone, more))
+        if held:
+            add(key, held)
+        yield finished()
+
+    dealt = met.repartition(parts, "leader", "low", "high").sortWithinPartitions("leader", "low", "high")
+    return dealt.mapInArrow(count, "doc_id long, links long, joins long")
+
+
+#: Columns of an entry of the index: shingle, cell of its list, whether it is on the cell's left, id, family, size, position.
+_ENTRY = (np.uint64, np.uint32, np.uint32, np.int64, np.int64, np.uint32, np.uint32)
+
+
 def _postings(docs: DataFrame, order, buckets: int) -> DataFrame:
-    """bucket, entries: the prefix shingles of each set, dealt by hash, as columns of shingle, id, component, size, position."""
+    """bucket, entries: the prefix shingles of each set, dealt by hash, as columns of an entry.
+
+    A list that goes into k parts has a cell for each two of them; an entry goes to the k cells of its part.
+    """
 
     def run(batches):
-        frequent, rank = order.value
+        frequent, rank, parts = order.value
         for batch in batches:
-            for part in _batches(batch, 2000):
-                ids, group = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("component").to_numpy(zero_copy_only=False)
-                rows: list[list[np.ndarray]] = [[], [], [], [], []]
-                for k, s in enumerate(shingle_sets(part.column("text").to_pylist())):
+            for part in slices(batch, 2000):
+                ids, group = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "family"))
+                prefixes, sizes = [], []
+                for s in shingle_sets(part.column("text").to_pylist()):
                     n = len(s)
-                    p = n - least_size(n) + 1 if n else 0
-                    for column, value in zip(rows, (ordered(s, frequent, rank)[:p], np.full(p, ids[k], np.int64), np.full(p, group[k], np.int64), np.full(p, n, np.uint32), np.arange(p, dtype=np.uint32))):
-                        column.append(value)
-                columns = [np.concatenate(c) for c in rows]
-                bucket = (columns[0] >> np.uint64(20)) % np.uint64(buckets)
+                    prefixes.append(ordered(s, frequent, rank)[: n - least_size(n) + 1 if n else 0])
+                    sizes.append(n)
+                p = np.array([len(s) for s in prefixes])
+                if not p.sum():
+                    continue
+                shingle, owner = np.concatenate(prefixes), np.repeat(np.arange(len(p)), p)
+                position = np.arange(len(shingle)) - np.repeat(np.cumsum(p) - p, p)
+                entry, cell, left = cells(shingle, ids[owner], frequent, parts)
+                owner = owner[entry]
+                columns = [shingle[entry], cell, left, ids[owner], group[owner], np.array(sizes)[owner], position[entry]]
+                columns = [c.astype(kind) for c, kind in zip(columns, _ENTRY)]
+                bucket = ((columns[0] >> np.uint64(20)) + columns[1]) % np.uint64(buckets)
                 at = np.argsort(bucket, kind="stable")
                 columns, bucket = [c[at] for c in columns], bucket[at]
                 cuts = np.flatnonzero(np.diff(bucket)) + 1
                 begins, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(bucket)]
-                if not len(bucket):
-                    continue
                 blobs = [b"".join(c[b:e].tobytes() for c in columns) for b, e in zip(begins, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[begins].astype(np.int32)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[begins].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
+
+    return docs.mapInArrow(run, "bucket long, entries binary")
 
-    return docs.mapInArrow(run, "bucket int, entries binary")
+
+def cells(shingle: np.ndarray, ids: np.ndarray, frequent: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each entry the cells it goes to, as index of the entry, number of the cell, whether it is on the cell's left.
+
+    Cell (i, j) of a list in k parts, i <= j, has the number i * k + j, with part i on the left and part j on the right.
+    """
+    k = np.ones(len(shingle), np.int64)
+    if len(frequent) and (parts > 1).any():
+        at = np.searchsorted(frequent, shingle)
+        at[at == len(frequent)] = 0
+        k = np.where(frequent[at] == shingle, parts[at], 1)
+    part = ((ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % k
+    entry = np.repeat(np.arange(len(shingle)), k)
+    other = np.arange(len(entry)) - np.repeat(np.cumsum(k) - k, k)
+    own, k = part[entry], k[entry]
+    return entry, np.minimum(own, other) * k + np.maximum(own, other), own <= other
 
 
 def _read(blob: bytes) -> list[np.ndarray]:
-    m, out, at = len(blob) // 32, [], 0
-    for kind, size in ((np.uint64, 8), (np.int64, 8), (np.int64, 8), (np.uint32, 4), (np.uint32, 4)):
+    m, out, at = len(blob) // sum(np.dtype(kind).itemsize for kind in _ENTRY), [], 0
+    for kind in _ENTRY:
         out.append(np.frombuffer(blob, kind, m, at))
-        at += size * m
+        at += out[-1].nbytes
     return out
 
 
-def list_pairs(ids: np.ndarray, group: np.ndarray, size: np.ndarray, position: np.ndarray):
-    """Of one shingle's list, the index pairs of different components that sizes and positions don't rule out.
+def list_pairs(left: np.ndarray, group: np.ndarray, size: np.ndarray, position: np.ndarray):
+    """Of one cell, the index pairs of different families that sizes and positions don't rule out.
 
     The list is walked in order of size: what follows a set and is too large for it, and all beyond, is skipped as a
-    block; so is what lies at a position from which too few shingles remain.
+    block; so is what lies at a position from which too few shingles remain. In a cell of two parts of a list an entry
+    meets those of the other part only.
     """
     order = np.lexsort((position, size))
-    size, position, group = size[order].astype(np.int64), position[order].astype(np.int64), group[order]
+    size, position, group, left = size[order].astype(np.int64), position[order].astype(np.int64), group[order], left[order]
+    two_sides = bool((left != left[0]).any())
     last = np.searchsorted(size, DENOMINATOR * size // NUMERATOR, side="right")
     for i in range(len(order) - 1):
         j = slice(i + 1, last[i])
         if j.start >= j.stop:
             continue
         reach = np.minimum(position[i], position[j]) + np.minimum(size[i] - position[i], size[j] - position[j])
-        keep = np.flatnonzero((reach >= least_overlap(size[i] + size[j])) & (group[j] != group[i]))
+        keep = (reach >= least_overlap(size[i] + size[j])) & (group[j] != group[i])
+        if two_sides:
+            keep &= left[j] != left[i]
+        keep = np.flatnonzero(keep)
         if len(keep):
             yield np.full(len(keep), order[i]), order[i + 1 + keep]
 
 
 def bucket_pairs(columns: list[np.ndarray]):
     """Of a bucket's entries, arrays of id, id, size, size, shared shingles of the pairs that remain."""
-    shingle = columns[0]
-    at = np.argsort(shingle, kind="stable")
-    shingle = shingle[at]
-    begins = np.concatenate([[0], np.flatnonzero(shingle[1:] != shingle[:-1]) + 1]) if len(shingle) else np.empty(0, np.int64)
+    shingle, cell = columns[:2]
+    at = np.lexsort((cell, shingle))
+    shingle, cell, left, ids, group, size, position = (c[at] for c in columns)
+    if not len(shingle):
+        return
+    begins = np.concatenate([[0], np.flatnonzero((shingle[1:] != shingle[:-1]) | (cell[1:] != cell[:-1])) + 1])
     ends = np.append(begins[1:], len(shingle))
-    ids, group, size, position = (c[at] for c in columns[1:])
-    if len(begins):
-        mixed = np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)
-        begins, ends = begins[mixed], ends[mixed]
+    # a list of one family has nothing to tell, nor has a cell with its right side alone
+    mixed = (np.minimum.reduceat(group, begins) != np.maximum.reduceat(group, begins)) & (np.maximum.reduceat(left, begins) == 1)
+    begins, ends = begins[mixed], ends[mixed]
     found: list[tuple] = []
     waiting = 0
     for b, e in zip(begins.tolist(), ends.tolist()):
-        for i, j in list_pairs(ids[b:e], group[b:e], size[b:e], position[b:e]):
+        for i, j in list_pairs(left[b:e], group[b:e], size[b:e], position[b:e]):
             found.append((i + b, j + b))
             waiting += len(i)
             if waiting > 500_000:
@@ -348,76 +408,10 @@ def _candidates(postings: DataFrame) -> DataFrame:
         if blobs:
             yield from pairs_of(blobs)
 
-    counted = postings.mapInArrow(run, "a long, b long, na long, nb long, shared long").groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    counted = postings.mapInArrow(run, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     beyond = F.greatest(F.ceil(F.col("na") * NUMERATOR / DENOMINATOR), F.ceil(F.col("nb") * NUMERATOR / DENOMINATOR)) - 1
     need = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
-    return counted.where(F.col("shared") + beyond >= need).select("a", "b")
-
-
-def block_links(sets: list[np.ndarray], rows: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """Of each set the rows of the similar ones on the other side; if all sets are on the left, of all the others."""
-    sizes = np.array([len(s) for s in sets])
-    ends = np.cumsum(sizes)
-    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    links = np.zeros(len(sets), np.int64)
-    one_side = bool(left.all())
-    others = np.arange(len(sets)) if one_side else np.flatnonzero(~left)
-    if not len(others):
-        return links
-    there = code if one_side else np.concatenate([code[ends[j] - sizes[j] : ends[j]] for j in others])
-    begins = np.cumsum(sizes[others]) - sizes[others]
-    here = np.zeros(int(code.max()) + 1, np.uint8)
-    for i in np.flatnonzero(left):
-        own = code[ends[i] - sizes[i] : ends[i]]
-        here[own] = 1
-        shared = np.add.reduceat(here[there], begins, dtype=np.int64)
-        here[own] = 0
-        similar = others[DENOMINATOR * shared >= NUMERATOR * (sizes[i] + sizes[others] - shared)]
-        if one_side:
-            links[i] = rows[similar].sum() - rows[i]
-        else:
-            links[i] = rows[similar].sum()
-            links[similar] += rows[i]
-    return links
-
-
-def _links_within(docs: DataFrame, groups: DataFrame, rows: DataFrame, parts: int) -> DataFrame:
-    """doc_id, links: of each set in a leader's component the rows of the similar sets there, a part for each block."""
-    blocks = common.stored(groups.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).alias("blocks")))
-    nodes = common.beside(groups.withColumnRenamed("node", "doc_id").join(rows, "doc_id"), blocks, ["component"], "inner")
-    nodes = common.stored(nodes.select("doc_id", "component", F.pmod(F.xxhash64("doc_id"), "blocks").alias("block"), "blocks", "rows"))
-    names = ["doc_id", "component", "block", "blocks", "rows"]
-
-    def sets(batches):
-        for batch in batches:
-            for part in _batches(batch):
-                blobs = [s.tobytes() for s in shingle_sets(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "shingles"])
-
-    def count(batches):
-        def counted(key, held):
-            links = block_links([s for _, _, s in held.values()], np.array([n for n, _, _ in held.values()]), np.array([block == key[1] for _, block, _ in held.values()]))
-            return pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.int64()), pa.array(links)], ["doc_id", "links"])
-
-        key, held = None, {}
-        for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("component", "low", "high", "doc_id", "rows", "block")]
-            for *own, doc_id, n, block, blob in zip(*columns, batch.column("shingles")):
-                if own != key and held:
-                    yield counted(key, held)
-                    held = {}
-                key = own
-                if doc_id not in held:  # repeated rows are one set
-                    held[doc_id] = n, block, np.frombuffer(blob.as_py(), np.uint64)
-        if held:
-            yield counted(key, held)
-
-    found = common.beside(docs, nodes, ["doc_id"], "inner").select(*names, "text").mapInArrow(sets, ", ".join(f"{c} long" for c in names) + ", shingles binary")
-    met = found.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select(
-        "component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id", "rows", "block", "shingles"
-    )
-    dealt = met.repartition(parts, "component", "low", "high").sortWithinPartitions("component", "low", "high")
-    return dealt.mapInArrow(count, "doc_id long, links long")
+    return counted.where(F.col("shared") + beyond >= need).select("a", "b").distinct()
 
 
 def similar_components(docs: DataFrame, links: bool = True) -> DataFrame:
@@ -428,6 +422,7 @@ def similar_components(docs: DataFrame, links: bool = True) -> DataFrame:
     spark = docs.sparkSession
     common.ship(spark)
     docs = common.id_and_text(docs)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = spark.sparkContext.broadcast(frequent_shingles(docs))
     profiles = common.stored(_profiles(docs))
     filled = profiles.where("n > 0")
@@ -435,25 +430,30 @@ def similar_components(docs: DataFrame, links: bool = True) -> DataFrame:
     copies = common.stored(
         filled.select("doc_id", "digest").join(classes.where("rows > 1").select("digest", "rep"), "digest").where("doc_id <> rep").select("doc_id", "rep").distinct()
     )
-    reps = filled.join(copies.select("doc_id"), "doc_id", "left_anti").where("doc_id IS NOT NULL").dropDuplicates(["doc_id", "digest"])
+    # one set for each id: where texts share an id only the index can tell which of them is meant
+    sets = filled.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("n").alias("n"), F.min("digest").alias("digest"), F.max("digest").alias("other"), F.first("head").alias("head"))
+    sets = sets.where("digest = other").join(copies.select("doc_id"), "doc_id", "left_anti")
     texts = docs.where("doc_id IS NOT NULL")
 
-    near = common.stored(_compared(texts, common.stored(_leaders(reps))))
-    groups = common.stored(components(near))
-
-    known = common.stored(groups.select(F.col("node").alias("doc_id"), "component", F.lit(False).alias("copy")).unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("component"), F.lit(True).alias("copy"))))
-    rest = common.beside(texts, known, ["doc_id"], "left").where(~F.coalesce("copy", F.lit(False))).select("doc_id", "text", F.coalesce("component", "doc_id").alias("component"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = _postings(rest, order, 8 * parts).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    members = common.stored(_members(texts, common.stored(_leaders(sets))))
+    rows = classes.select(F.col("rep").alias("doc_id"), "rows")
+    within = common.stored(_within(members, rows, parts, links))
+    anchored = weight(F.col("nl"), F.col("n"), F.length("gone") / 4) + weight(F.col("nl"), F.col("nl"), F.lit(0)) <= 0
+    near = members.where(anchored & (F.col("doc_id") != F.col("leader"))).select("doc_id", "leader").union(within.where("joins IS NOT NULL").select("doc_id", "joins"))
+
+    placed = members.select("doc_id", F.col("leader").alias("family"), F.lit(False).alias("copy"))
+    known = common.stored(placed.unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("family"), F.lit(True).alias("copy"))))
+    rest = common.beside(texts, known, ["doc_id"], "left").where(~F.coalesce("copy", F.lit(False))).select("doc_id", "text", F.coalesce("family", "doc_id").alias("family"))
+    entries = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).alias("n")).first().n or 0
+    dealt = _postings(rest, order, max(parts, entries // BUCKET_ENTRIES)).repartition(parts, "bucket").sortWithinPartitions("bucket")
     far = common.stored(_compared(texts, common.stored(_candidates(dealt))).distinct())
 
-    whole = common.stored(components(groups.toDF("a", "b").union(far)))
+    whole = common.stored(components(near.toDF("a", "b").union(far)))
     by_class = classes.join(whole, classes["rep"] == whole["node"], "left").select("digest", "rep", "rows", F.coalesce("component", "rep").alias("component_id"))
     out = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
     if links:
-        rows = classes.select(F.col("rep").alias("doc_id"), "rows")
         between = far.union(far.select("b", "a")).toDF("a", "doc_id").join(rows, "doc_id").select(F.col("a").alias("doc_id"), F.col("rows").alias("links"))
-        linked = _links_within(texts, groups, rows, parts).union(between).groupBy("doc_id").agg(F.sum("links").alias("links"))
+        linked = within.select("doc_id", "links").union(between).groupBy("doc_id").agg(F.sum("links").alias("links"))
         linked = common.stored(linked).withColumnRenamed("doc_id", "rep")
         of_class = F.when(F.col("rep").isNotNull(), F.col("rows") - 1 + F.coalesce("links", F.lit(0)))
         by_class = by_class.join(linked, "rep", "left").withColumn("n_links", of_class)

@@ -8,7 +8,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from ledgerspark.llm import exactdedup, jaccard, linededup
+from ledgerspark.llm import exactdedup, families, jaccard, linededup, shingles as shingling
 from ledgerspark.llm.components import components
 
 
@@ -135,8 +135,8 @@ def test_links_are_all_counted(spark, documents, odd):
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5])
 def test_slices_of_few_words(n):
     words = "a b c d e".split()[:n]
-    assert [len(s) for s in jaccard.shingle_sets([" ".join(words)])] == [min(n, 1)]
-    alone, beside = jaccard.shingle_sets([" ".join(words)])[0], jaccard.shingle_sets(["f g h i j k", " ".join(words)])[1]
+    assert [len(s) for s in shingling.shingle_sets([" ".join(words)])] == [min(n, 1)]
+    alone, beside = shingling.shingle_sets([" ".join(words)])[0], shingling.shingle_sets(["f g h i j k", " ".join(words)])[1]
     assert alone.tolist() == beside.tolist()
 
 
@@ -145,8 +145,9 @@ def test_table_of_one_short_text(spark):
     assert [tuple(r) for r in got] == [(278, 1, 278, 0)]
 
 
-def test_lists_lose_no_pair():
-    """Pairs that prefixes, sizes, positions and counts leave are a superset of the links, whatever the order."""
+@pytest.mark.parametrize("parts", [1, 3])
+def test_lists_lose_no_pair(parts):
+    """Pairs that prefixes, sizes, positions and counts leave are a superset of the links, whatever the order and the cells."""
     rng = np.random.default_rng(3)
     for _ in range(60):
         base = rng.choice(200, rng.integers(4, 60), replace=False)
@@ -154,24 +155,78 @@ def test_lists_lose_no_pair():
         for _ in range(12):
             s = set(base[rng.random(len(base)) > rng.random() * 0.3].tolist()) | set(rng.integers(200, 400, rng.integers(0, 6)).tolist())
             sets.append(np.array(sorted(s), np.uint64))
-        rows = [[], [], [], [], []]
+        rows = [[], [], [], []]
         for k, s in enumerate(sets):
             p = len(s) - jaccard.least_size(len(s)) + 1 if len(s) else 0
-            for column, value in zip(rows, (s[:p], np.full(p, k), np.full(p, k), np.full(p, len(s)), np.arange(p))):
+            for column, value in zip(rows, (s[:p], np.full(p, k), np.full(p, len(s)), np.arange(p))):
                 column.append(value)
+        shingle, ids, size, position = (np.concatenate(c) for c in rows)
+        long = np.unique(shingle)[::2]
+        entry, cell, left = jaccard.cells(shingle, ids, long, np.full(len(long), parts))
         shared = defaultdict(int)
-        for part in jaccard.bucket_pairs([np.concatenate(c) for c in rows]):
+        for part in jaccard.bucket_pairs([shingle[entry], cell, left, ids[entry], ids[entry], size[entry], position[entry]]):
             for a, b, *_, c in zip(*part):
                 shared[(a, b)] += c
         for a in range(12):
             for b in range(a + 1, 12):
                 na, nb = len(sets[a]), len(sets[b])
                 both = len(np.intersect1d(sets[a], sets[b]))
+                assert shared[(a, b)] <= both
                 if na and nb and 100 * both >= 75 * (na + nb - both):
                     beyond = max(jaccard.least_size(na), jaccard.least_size(nb)) - 1
                     assert shared[(a, b)] + beyond >= jaccard.least_overlap(na + nb)
 
 
+@pytest.mark.parametrize("one_side", [True, False])
+def test_links_from_differences(one_side, monkeypatch):
+    """Links of a family's sets, their numbers and what they join, against whole sets; leaders near and far, empty ones too."""
+    monkeypatch.setattr(families, "ROWS", 7)
+    monkeypatch.setattr(families, "COLUMNS", 11)
+    monkeypatch.setattr(families, "WIDTH", 5)
+    rng = np.random.default_rng(8)
+    for turn in range(40):
+        leader = np.unique(rng.integers(0, 1 << 40, rng.integers(0 if turn < 4 else 5, 60)).astype(np.uint64))
+        extra = rng.integers(1 << 40, 1 << 41, 40).astype(np.uint64)
+        sets = [np.union1d(leader[rng.random(len(leader)) > rng.random() * 0.5], rng.choice(extra, rng.integers(0, 12))) for _ in range(40)] + [leader]
+        rows, left = rng.integers(1, 5, len(sets)), np.ones(len(sets), bool) if one_side else rng.random(len(sets)) < 0.5
+        gone, more = zip(*(families.difference(s, leader) for s in sets))
+        for s, g, m in zip(sets, gone, more):
+            assert np.array_equal(np.union1d(np.delete(leader, g), m), s)
+        both = np.array([[len(np.intersect1d(s, t)) for t in sets] for s in sets])
+        size = np.array([len(s) for s in sets])
+        linked = 100 * both >= 75 * (size[:, None] + size[None, :] - both)
+        linked &= ~np.eye(len(sets), dtype=bool) if one_side else left[:, None] != left[None, :]
+        members = families.Members(len(leader), size, rows, left, list(gone), list(more))
+        total, joined = members.links()
+        assert total.tolist() == (linked @ rows).tolist()
+        by_leader = 100 * both[:, -1] >= 75 * (size + len(leader) - both[:, -1])
+        assert members.anchored.tolist() == by_leader.tolist()
+        uncounted = families.Members(len(leader), size, rows, left, list(gone), list(more)).links(counted=False)[1]
+        assert uncounted.tolist() == joined.tolist()
+        # components by these links and those to the leader (node -1), and by what is joined
+        def parts(pairs):
+            at = list(range(len(sets) + 1))
+            for a, b in pairs:
+                at = [min(at[a], at[b]) if x in (at[a], at[b]) else x for x in at]
+            return at
+        hub = len(sets)
+        anchors = [(k, hub) for k in np.flatnonzero(by_leader).tolist()]
+        assert parts(anchors + np.argwhere(linked).tolist()) == parts(anchors + [(k, hub if j == -1 else int(j)) for k, j in enumerate(joined.tolist()) if j != -2])
+
+
+def test_long_lists_are_dealt_in_cells(spark, monkeypatch):
+    """Any list of more than a few entries goes into parts; the links are the same."""
+    monkeypatch.setattr(jaccard, "SAMPLE_ROWS", 10)
+    monkeypatch.setattr(jaccard, "PART_ENTRIES", 3)
+    monkeypatch.setattr(jaccard, "RELATED", 1)  # families of equal sets alone, so that the index has all the work
+    rng = random.Random(3)
+    text = [f"w{k}" for k in range(40)]
+    rows = [(i, " ".join(w if rng.random() > 0.01 else f"x{rng.randrange(50)}" for w in text)) for i in range(120)]
+    got = jaccard.similar_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r.doc_id, r.n_links) for r in got) == links(rows)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == near(rows)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     links = [(k, k + 1) for k in range(100, 160)] + [(1, k) for k in range(2, 60)] + [(500, 500), (701, 700), (700, 701)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
