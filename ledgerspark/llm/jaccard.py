@@ -445,7 +445,7 @@ def similar_components(docs: DataFrame, links: bool = True) -> DataFrame:
     known = common.stored(placed.unionByName(copies.select("doc_id", F.lit(None).cast("long").alias("family"), F.lit(True).alias("copy"))))
     rest = common.beside(texts, known, ["doc_id"], "left").where(~F.coalesce("copy", F.lit(False))).select("doc_id", "text", F.coalesce("family", "doc_id").alias("family"))
     entries = sets.agg(F.sum(F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1).alias("n")).first().n or 0
-    dealt = _postings(rest, order, max(parts, entries // BUCKET_ENTRIES)).repartition(parts, "bucket").sortWithinPartitions("bucket")
+    dealt = _postings(rest, order, max(8 * parts, entries // BUCKET_ENTRIES)).repartition(parts, "bucket").sortWithinPartitions("bucket")
     far = common.stored(_compared(texts, common.stored(_candidates(dealt))).distinct())
 
     whole = common.stored(components(near.toDF("a", "b").union(far)))

@@ -15,6 +15,7 @@ import math
 import re
 from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +35,9 @@ ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 # Weak parts, which count only together.
 WEAK_ID = re.compile(r"""(?:access[_-]?key(?:[_-]?id)?|client[_-]?id|user(?:name)?|login|account)["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{3,})""", re.I | re.A)
 WEAK_SECRET = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}", re.A)
-ENDPOINT = re.compile(r"""[A-Za-z][A-Za-z0-9+.-]*://[^\x20\x09-\x0D"'<>]+|[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+:\d{2,5}""", re.A)
+#: A whole run of the characters of schemes and hosts, read once, and what makes it an endpoint: an address or a port.
+ENDPOINT = re.compile(r"""(?<![A-Za-z0-9+.-])([A-Za-z0-9+.-]++):(?:(//[^\x20\x09-\x0D"'<>]++)|\d{2,5})""", re.A)
+_LETTER = re.compile(r"[A-Za-z]")
 #: Characters either side within which parts belong together.
 REACH = 300
 #: Bits a character that a weak secret has at least.
@@ -64,17 +67,44 @@ def _bits(s: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(s).values())
 
 
-def _near(points: list[tuple[int, int]], span: tuple[int, int], reach: int) -> bool:
-    """Whether any of these spans, sorted by start and disjoint, comes within reach of this one."""
-    k = bisect_left(points, (span[1] + reach, -1))
-    return k > 0 and points[k - 1][1] + reach > span[0]
+class _Places:
+    """Stretches, which may overlap, to be asked whether any comes within reach of another stretch."""
+
+    def __init__(self, stretches: list[tuple[int, int]]):
+        stretches = sorted(stretches)
+        self.begins = [b for b, _ in stretches]
+        #: the furthest end of a stretch and all before it
+        self.ends = list(accumulate((e for _, e in stretches), max))
+
+    def near(self, stretch: tuple[int, int], reach: int) -> bool:
+        k = bisect_left(self.begins, stretch[1] + reach)
+        return k > 0 and self.ends[k - 1] + reach > stretch[0]
+
+
+def endpoints(text: str) -> list[tuple[int, int]]:
+    """Addresses (scheme://...) from the first letter of their run on, and hosts of two labels or more with a port."""
+    out = []
+    for m in ENDPOINT.finditer(text):
+        run = m.group(1)
+        if m.group(2):
+            letter = _LETTER.search(run)
+            if letter:
+                out.append((m.start() + letter.start(), m.end()))
+            continue
+        host = run.rpartition("+")[2]
+        _, gap, tail = host.rpartition("..")
+        tail = (tail if gap else host).removeprefix(".")
+        if "." in tail.strip(".") and not tail.endswith("."):
+            out.append((m.end(1) - len(tail), m.end()))
+    return out
 
 
 def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     """Weak candidates that stand with their complements.
 
     A weak identifier needs a secret in reach (base or weak); a weak secret needs an identifier in reach (an access
-    key or weak) and, unless that is an access key, an endpoint as well; an endpoint needs both.
+    key or weak) and, unless that is an access key, an endpoint as well; an endpoint needs both. A weak secret lies
+    in no base span and no weak identifier.
     """
     if not base and ":" not in text and "=" not in text:
         return []
@@ -83,16 +113,18 @@ def linked_spans(text: str, base: list[Span], reach: int = REACH) -> list[Span]:
     weak_ids = [(m.start(), m.end()) for m in WEAK_ID.finditer(text)]
     if not strong_ids and not weak_ids:
         return []
+    known = _Places(strong_ids + strong_secrets + weak_ids)
     weak_secrets = [
         (m.start(), m.end())
         for m in WEAK_SECRET.finditer(text)
-        if not _near(sorted(strong_ids + strong_secrets + weak_ids), (m.start(), m.end()), 0) and any(map(str.isdigit, m.group())) and any(map(str.isalpha, m.group())) and _bits(m.group()) >= BITS
+        if not known.near((m.start(), m.end()), 0) and any(map(str.isdigit, m.group())) and any(map(str.isalpha, m.group())) and _bits(m.group()) >= BITS
     ]
-    endpoints = [(m.start(), m.end()) for m in ENDPOINT.finditer(text)]
-    ids, secrets = sorted(strong_ids + weak_ids), sorted(strong_secrets + weak_secrets)
-    out: list[Span] = [(*s, "linked_id") for s in weak_ids if _near(secrets, s, reach) and (_near(strong_secrets, s, reach) or _near(endpoints, s, reach))]
-    out += [(*s, "linked_secret") for s in weak_secrets if _near(strong_ids, s, reach) or (_near(weak_ids, s, reach) and _near(endpoints, s, reach))]
-    out += [(*s, "linked_endpoint") for s in endpoints if _near(ids, s, reach) and _near(secrets, s, reach)]
+    found = endpoints(text)
+    at_strong_id, at_weak_id, at_id = _Places(strong_ids), _Places(weak_ids), _Places(strong_ids + weak_ids)
+    at_strong_secret, at_secret, at_endpoint = _Places(strong_secrets), _Places(strong_secrets + weak_secrets), _Places(found)
+    out: list[Span] = [(*s, "linked_id") for s in weak_ids if at_secret.near(s, reach) and (at_strong_secret.near(s, reach) or at_endpoint.near(s, reach))]
+    out += [(*s, "linked_secret") for s in weak_secrets if at_strong_id.near(s, reach) or (at_weak_id.near(s, reach) and at_endpoint.near(s, reach))]
+    out += [(*s, "linked_endpoint") for s in found if at_id.near(s, reach) and at_secret.near(s, reach)]
     return out
 
 

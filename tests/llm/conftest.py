@@ -21,6 +21,7 @@ TEXTS = {
     12: "x" * 5_000,
     13: "one two three",
     14: "one two three",
+    16: "client_id=abc " + "a.Q" * 100_000,
     15: "\ud7ff\ue000 😀 odd \x00 bytes",
 }
 
