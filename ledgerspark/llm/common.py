@@ -155,13 +155,18 @@ def _row_bytes(df: DataFrame) -> Column:
     return total
 
 
-def beside(large: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
+def beside(large: DataFrame, small: DataFrame, keys: list[str], how: str, null_safe: bool = False) -> DataFrame:
     """Join a table to one that is mostly far smaller: by broadcast if its measured bytes allow, else by a shuffle.
 
-    `small` should be a stored table: it is read here.
+    `small` should be a stored table: it is read here. Null keys are equal if `null_safe`, and the keys then are the large table's.
     """
     size = small.agg(F.sum(_row_bytes(small)).alias("size")).first().size or 0
-    return large.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, keys, how)
+    on = keys
+    if null_safe:
+        own = {k: f"_{uuid.uuid4().hex}" for k in keys}
+        small, on = small.withColumnsRenamed(own), [F.col(k).eqNullSafe(F.col(o)) for k, o in own.items()]
+    joined = large.join(F.broadcast(small) if size <= BROADCAST_BYTES else small, on, how)
+    return joined.drop(*own.values()) if null_safe else joined
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -41,6 +41,25 @@ def test_rows_that_stay(odd, documents):
     assert len(texts) == len(set(texts)) == len({lowered(r.text) for r in documents.collect()})
 
 
+def test_one_row_stays_whatever_the_columns_are_called(spark):
+    rows = [(1, "A", 1), (1, "a", 2), (2, "a", 3), (None, "a", 4), (3, "b", 5), (3, "c", 6), (None, "d", 7), (None, "D", 8), (None, None, 9), (4, "", 10), (4, None, 11)]
+    table = spark.createDataFrame([(*r, b"x", b"y", 1, 1) for r in rows], "doc_id long, text string, n long, digest binary, _digest_of_text binary, stays int, KEEP_ID int").repartition(3)
+    kept = exactdedup.without_copies(table)
+    assert kept.columns == table.columns
+    assert sorted((r.doc_id or 0, (r.text or "").lower()) for r in kept.collect()) == [(0, "d"), (1, "a"), (3, "b"), (3, "c"), (4, "")]
+
+
+def test_a_run_over_many_folds_has_one_answer(spark, monkeypatch):
+    monkeypatch.setattr(exactdedup, "FOLD_ROWS", 3)
+    rows = [(k, "same" if k % 2 else f"own {k % 20}") for k in range(200)]
+    for keep, best in (("smallest", min), ("largest", max)):
+        groups = defaultdict(list)
+        for k, t in rows:
+            groups[t].append(k)
+        got = exactdedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), keep).collect()
+        assert sorted((r.doc_id, r.keep_id, r.group_size) for r in got) == sorted((k, best(g), len(g)) for g in groups.values() for k in g)
+
+
 def test_many_copies_over_many_partitions(spark):
     rows = [(k, "The Same Text" if k % 3 else f"text {k % 50}") for k in range(5_000)]
     got = {r.doc_id: (r.keep_id, r.group_size) for r in exactdedup.exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(9)).collect()}
