@@ -30,7 +30,7 @@ class Settings:
     window: int = 96  # bytes that are run through as one sequence
     lanes: int = 4096  # windows side by side
     sample_rows: int = 3000  # labelled rows that are learned from, at most
-    sample_chars: int = 400  # of each, from a place within it
+    sample_windows: int = 6  # of each, of `window` characters from anywhere in the whole text
     steps: int = 200
     batch: int = 128  # windows a step
     rate: float = 0.02
@@ -228,15 +228,15 @@ def pooled(net: Network, texts: list[bytes]) -> np.ndarray:
 
 
 def training_sample(docs: DataFrame, settings: Settings) -> tuple[list[bytes], list[str]]:
-    """At most `sample_rows` labelled rows, those whose ids hash lowest, and a stretch of each."""
-    place = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.length("text") - settings.sample_chars, F.lit(1))) + 1
+    """Windows from all over the whole texts of at most `sample_rows` labelled rows, those whose ids hash lowest."""
     rows_with_label = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(
         ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull()
     )
-    cut = F.substring("text", place.cast("int"), F.lit(settings.sample_chars))
-    rows = common.hashed_sample(rows_with_label.select("doc_id", "lang", cut.alias("cut")), ["doc_id", "lang"], settings.sample_rows).collect()
-    rows = sorted(((r.lang, r.cut.encode()) for r in rows))
-    return [t for _, t in rows], [x for x, _ in rows]
+    places = F.greatest(F.length("text") - settings.window + 1, F.lit(1))
+    cut = F.transform(F.sequence(F.lit(1), F.lit(settings.sample_windows)), lambda k: F.col("text").substr((F.pmod(F.xxhash64("doc_id", k), places) + 1).cast("int"), F.lit(settings.window)))
+    rows = common.hashed_sample(rows_with_label.select("doc_id", "lang", F.array_distinct(cut).alias("cuts")), ["doc_id", "lang"], settings.sample_rows).collect()
+    cuts = sorted((r.lang, c.encode()) for r in rows for c in r.cuts)
+    return [c for _, c in cuts], [lang for lang, _ in cuts]
 
 
 def fitted(docs: DataFrame, settings: Settings = Settings()) -> Network | None:

@@ -1,5 +1,6 @@
 """The network's gradients, its accuracy on rows that it hasn't seen, and odd cases."""
 
+import math
 import zlib
 
 import numpy as np
@@ -28,6 +29,49 @@ def test_gradients_are_those_of_the_loss():
         assert abs((up - down) / (2 * step) - gradients[name][at]) < 2e-3, name
 
 
+def plain(net, text):
+    """Probabilities at each byte of one window, number by number from the textbook's equations."""
+    w, h = net.weights, net.settings.hidden
+    sigma = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(d, codes):
+        state, out = [0.0] * h, []
+        for code in codes:
+            through = [sum(float(w[f"U{d}"][r, k]) * state[k] for k in range(h)) + float(w[f"c{d}"][r, 0]) for r in range(3 * h)]
+            into = [float(w[f"E{d}"][r, code]) for r in range(3 * h)]
+            update = [sigma(into[k] + through[k]) for k in range(h)]
+            reset = [sigma(into[h + k] + through[h + k]) for k in range(h)]
+            candidate = [math.tanh(into[2 * h + k] + reset[k] * through[2 * h + k]) for k in range(h)]
+            state = [update[k] * state[k] + (1 - update[k]) * candidate[k] for k in range(h)]
+            out.append(state)
+        return out
+
+    forth, back, out = states("f", text), states("b", text[::-1])[::-1], []
+    for f, b in zip(forth, back):
+        z = [sum(float(w["Of"][c, k]) * f[k] + float(w["Ob"][c, k]) * b[k] for k in range(h)) + float(w["o"][c, 0]) for c in range(len(net.languages))]
+        e = [math.exp(v) for v in z]
+        out.append([v / sum(e) for v in e])
+    return np.array(out)
+
+
+def test_network_is_that_of_the_equations():
+    net = langid.trained([b"aba abab", b"cdc dcdc"] * 4, ["x", "y"] * 4, langid.Settings(window=8, steps=5, batch=8))
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 256, (8, 5))
+    p = net.probabilities(codes.astype(np.intp))
+    for lane in range(5):
+        assert np.allclose(p[:, :, lane].T, plain(net, codes[:, lane].tolist()), atol=1e-4)
+    text = bytes(range(60, 84))
+    assert np.allclose(langid.pooled(net, [text])[0], np.mean([plain(net, list(text[k : k + 8])) for k in (0, 8, 16)], axis=(0, 1)), atol=1e-4)
+
+
+def test_windows_come_from_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "a" * 5_000 + "b" * 5_000 + "c" * 5_000, "x", "y") for i in range(1, 60)] + [(100, "short", "x", "y"), (101, "", "x", "z")], "doc_id long, text string, lang string, cuts string")
+    texts, labels = langid.training_sample(docs, langid.Settings(sample_rows=40))
+    found = b"".join(texts)
+    assert min(found.count(c) for c in (b"a", b"b", b"c")) > len(found) / 6 and max(map(len, texts)) == langid.Settings().window and set(labels) == {"x"}
+
+
 def test_pooling_counts_each_byte_once():
     net = langid.Network(["a", "b"], langid.Settings(window=8, lanes=3))
     texts = [b"abc", b"abcdefgh", b"abcdefghij", bytes(range(65, 100))]
