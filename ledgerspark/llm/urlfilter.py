@@ -2,7 +2,9 @@
 
 The trees learn from labelled urls, those that a rule judges, at most `SAMPLE_ROWS` of them; they are fitted on the
 driver and written out as one arithmetic expression, so that scoring all urls is a projection. Features: length,
-depth, digit ratio, entropy, counts of parameters, labels and hyphens, and statistics of the host's suffix.
+depth, digit ratio, entropy, counts of parameters, labels and hyphens, and statistics of the host's suffix. Those are
+counted over sites (hosts), not over urls, and a training url's are counted without its own site: a suffix that few
+sites have labelled says nothing of others, so there the shape of a url decides.
 
 Cases: a null url, or one without `://`, has an empty host and path and fits no rule; the trees judge it by the
 features of an empty string. With no labelled url the method allows. Ties of score (0) are allowed. Repeated rows get
@@ -27,6 +29,8 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Labelled urls that the trees learn from, at most.
 SAMPLE_ROWS = 4000
 TREES, DEPTH, RATE, BINS, LEAST_ROWS, PENALTY = 20, 3, 0.3, 16, 5, 1.0
+#: Sites that a suffix has at least for its statistics, and how many sites' weight the share over all has in them.
+LEAST_SITES, PRIOR_SITES = 3, 2.0
 FEATURES = ("length", "depth", "digit_ratio", "entropy", "parameters", "labels", "hyphens", "suffix_score", "suffix_share")
 
 
@@ -36,7 +40,7 @@ def _after_scheme(url: str = "url") -> Column:
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
-    """page_id, url (null as empty), host, path, query, suffix."""
+    """page_id, url (null as empty), host, path, query, and hashes of the host's suffix and of the host, the site."""
     return (
         pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"))
         .withColumn("rest", _after_scheme())
@@ -47,7 +51,7 @@ def with_parts(pages: DataFrame) -> DataFrame:
             F.regexp_extract("rest", r"^[^/?#]*([^?#]*)", 1).alias("path"),
             F.regexp_extract("rest", r"^[^?#]*\?([^#]*)", 1).alias("query"),
         )
-        .withColumn("suffix", F.element_at(F.split("host", r"\."), -1))
+        .withColumns({"suffix": F.xxhash64(F.substring_index("host", ".", -1)), "site": F.xxhash64("host")})
     )
 
 
@@ -93,7 +97,7 @@ class Trees:
 
     base: float
     trees: list
-    suffixes: dict[str, tuple[float, float]]
+    suffixes: dict[int, tuple[float, float]]
     other: tuple[float, float]
 
     def score(self) -> Column:
@@ -110,7 +114,7 @@ class Trees:
         return out
 
     def with_features(self, parts: DataFrame) -> DataFrame:
-        known = F.create_map(*[x for s, (score, share) in sorted(self.suffixes.items()) for x in (F.lit(s), F.struct(F.lit(score).alias("score"), F.lit(share).alias("share")))]) if self.suffixes else None
+        known = F.create_map(*[x for s, (score, share) in sorted(self.suffixes.items()) for x in (F.lit(s).cast("long"), F.struct(F.lit(score).alias("score"), F.lit(share).alias("share")))]) if self.suffixes else None
         found = known[F.col("suffix")] if known is not None else None
 
         def statistic(name: str, other: float) -> Column:
@@ -147,42 +151,56 @@ def _value(node, x: np.ndarray) -> np.ndarray:
     return np.where(x[:, node[0]] <= node[1], _value(node[2], x), _value(node[3], x))
 
 
-def boosted(features: np.ndarray, suffixes: list[str], blocked: np.ndarray) -> Trees:
-    """Fit trees to labelled rows: `features` are the lexical ones; the suffix's are added from these rows."""
-    prior, n = (blocked.sum() + 1) / (len(blocked) + 2), max(1, len(blocked))
-    by: dict[str, list[int]] = {}
-    for s, b in zip(suffixes, blocked):
-        by.setdefault(s, [0, 0])
-        by[s][0] += int(b)
-        by[s][1] += 1
-    known = {s: ((k + 10 * prior) / (m + 10), m / n) for s, (k, m) in by.items() if m >= LEAST_ROWS}
-    other = (float(prior), 0.0)
-    known = {s: (float(a), float(b)) for s, (a, b) in known.items()}
-    base = math.log(prior / (1 - prior))
+class _Suffixes:
+    """Share of blocked urls and share of all sites, by suffix, each site counting once."""
+
+    def __init__(self, suffixes: list[int], sites: list[int], blocked: np.ndarray):
+        self.by: dict[int, dict[int, list[float]]] = {}
+        for suffix, site, b in zip(suffixes, sites, blocked):
+            own = self.by.setdefault(suffix, {}).setdefault(site, [0.0, 0])
+            own[0] += float(b)
+            own[1] += 1
+        self.sites = max(1, sum(map(len, self.by.values())))
+        self.prior = (float(np.sum(blocked)) + 1) / (len(blocked) + 2)
+        self.other = (self.prior, 0.0)
+
+    def of(self, suffix: int, less: int | None = None) -> tuple[float, float]:
+        """Statistics of a suffix, without one of its sites if that is given."""
+        shares = [k / n for site, (k, n) in self.by.get(suffix, {}).items() if site != less]
+        if len(shares) < LEAST_SITES:
+            return self.other
+        return (sum(shares) + PRIOR_SITES * self.prior) / (len(shares) + PRIOR_SITES), len(shares) / self.sites
+
+
+def boosted(features: np.ndarray, suffixes: list[int], sites: list[int], blocked: np.ndarray) -> Trees:
+    """Fit trees to labelled rows: `features` are the lexical ones; the suffix's are added from the rows of other sites."""
+    known = _Suffixes(suffixes, sites, blocked)
     if len(blocked) == 0:
-        return Trees(-1.0, [], {}, other)
-    x = np.column_stack([features, [known.get(s, other)[0] for s in suffixes], [known.get(s, other)[1] for s in suffixes]])
+        return Trees(-1.0, [], {}, known.other)
+    base = math.log(known.prior / (1 - known.prior))
+    x = np.column_stack([features, np.array([known.of(*own) for own in zip(suffixes, sites)], float)])
     score, trees = np.full(len(x), base), []
     for _ in range(TREES):
         p = 1 / (1 + np.exp(-score))
         tree = _tree(x, p - blocked, p * (1 - p), np.arange(len(x)), DEPTH)
         trees.append(tree)
         score += _value(tree, x)
-    return Trees(float(base), trees, known, other)
+    return Trees(float(base), trees, {s: known.of(s) for s in known.by if known.of(s) != known.other}, known.other)
 
 
-def fitted(pages: DataFrame, rules=RULES) -> Trees:
-    """Trees from labelled urls, those with the lowest hashes: their features and labels alone come to the driver."""
+def training_rows(pages: DataFrame, rules=RULES) -> tuple[np.ndarray, list[int], list[int], np.ndarray]:
+    """Lexical features, suffixes, sites and labels of urls that a rule judges, those with the lowest hashes."""
     names = [f for f in FEATURES if not f.startswith("suffix")]
     labelled = with_parts(pages).withColumn("rule", rule_of(rules)).where(F.col("rule").isNotNull())
-    rows = (
-        common.hashed_sample(labelled, ["url", "page_id"], SAMPLE_ROWS)
-        .withColumns(lexical_features())
-        .select(*names, F.substring("suffix", 1, 64).alias("suffix"), (_action(rules) == "block").alias("blocked"))
-        .collect()
-    )
+    sample = common.hashed_sample(labelled, ["url", "page_id"], SAMPLE_ROWS).withColumns(lexical_features())
+    rows = sample.select(*names, "suffix", "site", (_action(rules) == "block").alias("blocked")).collect()
     x = np.array([[r[n] for n in names] for r in rows], float).reshape(len(rows), len(names))
-    return boosted(x, [r.suffix for r in rows], np.array([r.blocked for r in rows], float))
+    return x, [r.suffix for r in rows], [r.site for r in rows], np.array([r.blocked for r in rows], float)
+
+
+def fitted(pages: DataFrame, rules=RULES) -> Trees:
+    """Trees from labelled urls: their features and labels alone come to the driver."""
+    return boosted(*training_rows(pages, rules))
 
 
 def judged(pages: DataFrame, rules=RULES, trees: Trees | None = None) -> DataFrame:

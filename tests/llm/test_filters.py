@@ -48,7 +48,7 @@ def test_trees_learn_a_threshold():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 7))
     blocked = ((x[:, 0] > 0.2) ^ (x[:, 4] > 0)).astype(float)
-    trees = urlfilter.boosted(x, ["com"] * 600, blocked)
+    trees = urlfilter.boosted(x, [1] * 600, [1] * 600, blocked)
     full = np.column_stack([x, np.zeros((600, 2))])
     score = trees.base + sum(urlfilter._value(t, full) for t in trees.trees)
     assert ((score > 0) == blocked).mean() > 0.95
@@ -62,6 +62,28 @@ def test_expression_equals_the_trees(spark, sf_dir):
     assert np.allclose(trees.base + sum(urlfilter._value(t, x) for t in trees.trees), [r.s for r in rows])
 
 
+def test_suffixes_are_counted_by_site_and_without_the_own():
+    known = urlfilter._Suffixes([1, 1, 1, 1, 2, 2], [10, 10, 11, 12, 20, 21], np.array([1, 1, 0, 0, 1, 1.0]))
+    prior = 5 / 8
+    assert known.of(1) == ((1 + 0 + 0 + 2 * prior) / 5, 3 / 5)
+    assert known.of(1, less=10) == known.of(2) == known.of(3) == (prior, 0.0)  # too few sites
+
+
+def test_accuracy_on_sites_that_were_not_learned(spark):
+    """Four folds of hosts. A rule looks at a path's language, which no lexical feature shows, so little more than the larger share can be right."""
+    x, suffixes, sites, blocked = urlfilter.training_rows(spark.read.parquet("/root/testdata/sf0.1/pages.parquet"))
+    right = 0
+    for fold in range(4):
+        held = np.array([s % 4 == fold for s in sites])
+        pick = lambda c, k: [v for v, h in zip(c, held) if h == k]
+        learned = urlfilter._Suffixes(pick(suffixes, False), pick(sites, False), blocked[~held])
+        trees = urlfilter.boosted(x[~held], pick(suffixes, False), pick(sites, False), blocked[~held])
+        full = np.column_stack([x[held], [learned.of(s) for s in pick(suffixes, True)]])
+        score = trees.base + sum(urlfilter._value(t, full) for t in trees.trees)
+        right += int(((score > 0) == blocked[held]).sum())
+    assert right / len(blocked) > max(blocked.mean(), 1 - blocked.mean())
+
+
 def test_no_page_or_no_label(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judged(none).count() == 0
