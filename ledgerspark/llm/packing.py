@@ -151,6 +151,8 @@ def _cut(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     def run(batches):
         codec = bpe.on_worker(bpe.FastCodec, vocabulary)
+        if len(codec.strings) > 1 << 16:
+            raise ValueError("ids above 65535 don't fit the 16 bits in which remainders are kept")
         task, ranks, step = TaskContext.get().partitionId(), [0] * (WINDOW + 1), 4 * WINDOW
         for batch in batches:
             rows: list[list] = [[] for _ in fields]
@@ -171,7 +173,7 @@ def _cut(docs: DataFrame, vocabulary: str) -> DataFrame:
 def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset: a row for each piece.
 
-    Vocabularies must have ids below 65536: remainders are kept as 16-bit numbers.
+    Remainders are kept as 16-bit numbers: a vocabulary with ids above 65535 is refused.
     """
     spark = docs.sparkSession
     common.ship(spark)
