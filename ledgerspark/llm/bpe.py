@@ -282,7 +282,7 @@ def token_counts(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", limit:
             n_bytes = pc.fill_null(pc.cast(pc.binary_length(batch.column("text")), pa.int64()), 0)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n_bytes, n, pc.greater(n, limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return common.mapped(common.id_and_text(docs), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", cached=True)
 
 
 def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -301,7 +301,7 @@ def encoded(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame
                     [piece.column("doc_id"), pa.array([len(i) // 4 for i in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.string())], ["doc_id", "n_tokens", "ids", "decoded"]
                 )
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids binary, decoded string")
+    return common.mapped(common.id_and_text(docs), run, "doc_id long, n_tokens long, ids binary, decoded string", cached=True)
 
 
 def encoded_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -318,7 +318,7 @@ def encoded_digests(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> D
             n, of_ids, of_text = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return common.mapped(common.id_and_text(docs), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", cached=True)
 
 
 def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:

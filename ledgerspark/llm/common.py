@@ -12,6 +12,7 @@ import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,17 +32,38 @@ BATCH_ROWS, _DEFAULT_BATCH_ROWS, _BATCH_CONF = "2000", "10000", "spark.sql.execu
 _HELD: dict = {}
 
 
+def _emptied() -> None:
+    """Give back what this worker holds for other operators, and what its allocators keep."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def worker_cache(key, make: Callable):
     """What a worker keeps from task to task: the table of one operator at a time, whichever ran last."""
     if key not in _HELD:
-        _HELD.clear()
-        gc.collect()
-        with contextlib.suppress(OSError, AttributeError):  # no such call outside glibc
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        _emptied()
         _HELD[key] = make()
     return _HELD[key]
 
 
+def mapped(df: DataFrame, run: Callable, schema, cached: bool = False) -> DataFrame:
+    """df.mapInArrow(run, schema) by workers that hold no other operator's table meanwhile and give memory back at the end.
+
+    `cached`: the operator has a table in the worker's cache, which stays for its next task.
+    """
+
+    def task(batches):
+        if _HELD and not cached:
+            _emptied()
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(task, schema)
+
+
 def ship(spark: SparkSession) -> None:
     """Give executors this package, once per application, so that Python stages import it there."""
     context = spark.sparkContext

@@ -57,7 +57,7 @@ def _folded(docs: DataFrame) -> DataFrame:
                     ["lead", "digest", "norm", "ids"],
                 )
 
-    return common.id_and_text(docs).mapInArrow(run, "lead binary, digest binary, norm binary, ids array<long>")
+    return common.mapped(common.id_and_text(docs), run, "lead binary, digest binary, norm binary, ids array<long>")
 
 
 def _neighbours(keep: str):
@@ -118,7 +118,7 @@ def _answers(docs: DataFrame, keep: str) -> DataFrame:
         raise ValueError(f"keep must be smallest or largest, not {keep}")
     common.ship(docs.sparkSession)
     ranged = _folded(docs).repartitionByRange("lead", "digest").sortWithinPartitions("lead", "digest", "norm")
-    found = common.stored(ranged.mapInArrow(_neighbours(keep), "run long, digest binary, ids array<long>, keep_id long, group_size long"))
+    found = common.stored(common.mapped(ranged, _neighbours(keep), "run long, digest binary, ids array<long>, keep_id long, group_size long"))
     at_once = found.where("run IS NULL").drop("run")
     of_runs = found.where("run IS NOT NULL AND ids IS NULL").select("run", "keep_id", "group_size")
     pieces = found.where("run IS NOT NULL AND ids IS NOT NULL").select("run", "digest", "ids").join(of_runs, "run").drop("run")

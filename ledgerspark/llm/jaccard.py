@@ -89,7 +89,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarr
             found, times = np.unique(np.concatenate(sets) if sets else np.empty(0, np.uint64), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(times.astype(np.int32))], ["shingle", "times"])
 
-    counted = sample.mapInArrow(run, "shingle long, times int").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
+    counted = common.mapped(sample, run, "shingle long, times int").groupBy("shingle").agg(F.sum("times").alias("times")).where(F.col("times") >= FREQUENT)
     counted = common.stored(counted)
     least, entries = FREQUENT, 0
     by_times = counted.groupBy(F.least("times", F.lit(100_000)).alias("times")).agg(F.count("*").alias("n"))
@@ -126,7 +126,7 @@ def _profiles(docs: DataFrame) -> DataFrame:
                     ["doc_id", "n", "digest", "head"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, head array<long>")
+    return common.mapped(docs, run, "doc_id long, n long, digest binary, head array<long>")
 
 
 def _both_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -141,8 +141,8 @@ def _both_sets(docs: DataFrame, pairs: DataFrame) -> DataFrame:
 
     own = pairs.select("a", F.col("b").alias("doc_id"))
     other = pairs.select(F.col("a").alias("doc_id")).distinct()
-    of_b = common.beside(docs, own, ["doc_id"], "inner").select(F.col("doc_id").alias("b"), "a", "text").mapInArrow(sets, "b long, a long, shingles binary")
-    of_a = common.beside(docs, other, ["doc_id"], "inner").select(F.col("doc_id").alias("a"), "text").mapInArrow(sets, "a long, shingles binary")
+    of_b = common.mapped(common.beside(docs, own, ["doc_id"], "inner").select(F.col("doc_id").alias("b"), "a", "text"), sets, "b long, a long, shingles binary")
+    of_a = common.mapped(common.beside(docs, other, ["doc_id"], "inner").select(F.col("doc_id").alias("a"), "text"), sets, "a long, shingles binary")
     return of_b.join(of_a.withColumnRenamed("shingles", "other"), "a").select("a", "b", "shingles", "other")
 
 
@@ -160,7 +160,7 @@ def _compared(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 similar.append(DENOMINATOR * shared >= NUMERATOR * (len(s) + len(t) - shared))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(similar, pa.bool_()))
 
-    return _both_sets(docs, pairs).mapInArrow(compare, "a long, b long")
+    return common.mapped(_both_sets(docs, pairs), compare, "a long, b long")
 
 
 def _leaders(profiles: DataFrame) -> DataFrame:
@@ -197,7 +197,7 @@ def _members(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             columns = zip(*rows) if rows else [()] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 4 else pa.binary()) for k, c in enumerate(columns)], names)
 
-    related = _both_sets(docs, pairs).mapInArrow(compare, "leader long, doc_id long, n long, nl long, gone binary, more binary")
+    related = common.mapped(_both_sets(docs, pairs), compare, "leader long, doc_id long, n long, nl long, gone binary, more binary")
     chosen = common.stored(related.groupBy("doc_id").agg(F.min(F.struct("leader", "n", "nl", "gone", "more")).alias("own")).select("doc_id", "own.*"))
     nothing = F.lit(b"")
     leaders = chosen.groupBy(F.col("leader").alias("doc_id")).agg(F.first("nl").alias("nl")).join(chosen.select("doc_id"), "doc_id", "left_anti")
@@ -258,7 +258,7 @@ def _within(members: DataFrame, rows: DataFrame, parts: int, links: bool) -> Dat
         yield finished()
 
     dealt = met.repartition(parts, "leader", "low", "high").sortWithinPartitions("leader", "low", "high")
-    return dealt.mapInArrow(count, "doc_id long, links long, joins long")
+    return common.mapped(dealt, count, "doc_id long, links long, joins long")
 
 
 #: Columns of an entry of the index: shingle, cell of its list, whether it is on the cell's left, id, family, size, position.
@@ -298,7 +298,7 @@ def _postings(docs: DataFrame, order, buckets: int) -> DataFrame:
                 blobs = [b"".join(c[b:e].tobytes() for c in columns) for b, e in zip(begins, ends)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[begins].astype(np.int64)), pa.array(blobs, pa.binary())], ["bucket", "entries"])
 
-    return docs.mapInArrow(run, "bucket long, entries binary")
+    return common.mapped(docs, run, "bucket long, entries binary")
 
 
 def cells(shingle: np.ndarray, ids: np.ndarray, frequent: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -408,7 +408,7 @@ def _candidates(postings: DataFrame) -> DataFrame:
         if blobs:
             yield from pairs_of(blobs)
 
-    counted = postings.mapInArrow(run, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
+    counted = common.mapped(postings, run, "a long, b long, na long, nb long, shared long").groupBy("a", "b", "na", "nb").agg(F.sum("shared").alias("shared"))
     beyond = F.greatest(F.ceil(F.col("na") * NUMERATOR / DENOMINATOR), F.ceil(F.col("nb") * NUMERATOR / DENOMINATOR)) - 1
     need = F.ceil((F.col("na") + F.col("nb")) * NUMERATOR / (NUMERATOR + DENOMINATOR))
     return counted.where(F.col("shared") + beyond >= need).select("a", "b").distinct()

@@ -266,12 +266,11 @@ def predicted(docs: DataFrame, net: Network | None) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches):
-        common.worker_cache("network", dict)
         for part in _parts(batches):
             lang, score = labelled(net, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return common.mapped(common.id_and_text(docs), run, "doc_id long, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, net: Network | None, least_score: float) -> DataFrame:
@@ -284,7 +283,7 @@ def accepted(docs: DataFrame, net: Network | None, least_score: float) -> DataFr
             lang, score = labelled(net, part.column(where).to_pylist())
             yield part.filter(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(lang, score)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema)
 
 
 def identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:

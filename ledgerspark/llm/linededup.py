@@ -65,7 +65,7 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in out], names)
 
-    return _keyed(common.id_and_text(docs)).select("d", "u", "text").mapInArrow(run, ", ".join(f"{c} long" for c in names))
+    return common.mapped(_keyed(common.id_and_text(docs)).select("d", "u", "text"), run, ", ".join(f"{c} long" for c in names))
 
 
 def _ranked(pairs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             columns = [pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(batch.columns[:-1])]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64()), pa.array(deleted, pa.int64())], [f.name for f in schema.fields])
 
-    return joined.mapInArrow(run, schema)
+    return common.mapped(joined, run, schema)
 
 
 def line_digests(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:

@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from . import bpe, common
 
 WINDOW, END_ID = 1024, 0
+#: Pieces of text whose ids a worker keeps.
+MEMO_ENTRIES = 200_000
 #: Steps of projected gradient descent at most.
 STEPS = 400
 #: Whole windows of task p are numbered from (p + 1) * TASK_STRIDE; windows of remainders from 0.
@@ -150,7 +152,7 @@ def _cut(docs: DataFrame, vocabulary: str) -> DataFrame:
     fields = {"doc_id": pa.int64(), "start": pa.int64(), "length": pa.int32(), "doc_tokens": pa.int64(), "task": pa.int32(), "rank": pa.int64(), "ids_crc32": pa.int64(), "ids": pa.binary()}
 
     def run(batches):
-        codec = bpe.on_worker(bpe.FastCodec, vocabulary)
+        codec = bpe.on_worker(bpe.FastCodec, vocabulary, MEMO_ENTRIES)
         if len(codec.strings) > 1 << 16:
             raise ValueError("ids above 65535 don't fit the 16 bits in which remainders are kept")
         task, ranks, step = TaskContext.get().partitionId(), [0] * (WINDOW + 1), 4 * WINDOW
@@ -167,7 +169,7 @@ def _cut(docs: DataFrame, vocabulary: str) -> DataFrame:
                     ranks[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, fields.values())], list(fields))
 
-    return common.id_and_text(docs).mapInArrow(run, "doc_id long, start long, length int, doc_tokens long, task int, rank long, ids_crc32 long, ids binary")
+    return common.mapped(common.id_and_text(docs), run, "doc_id long, start long, length int, doc_tokens long, task int, rank long, ids_crc32 long, ids binary", cached=True)
 
 
 def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -213,4 +215,4 @@ def packed(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(taken), pa.array(begin), pa.array(size), pa.array(crc), batch.column("doc_tokens").take(taken), pa.array(sequence), pa.array(offset)], names)
 
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    return whole.unionByName(ranked.mapInArrow(place, schema))
+    return whole.unionByName(common.mapped(ranked, place, schema))

@@ -150,7 +150,7 @@ def scanned(docs: DataFrame, reach: int = REACH) -> DataFrame:
             columns = [pa.array([[{"kind": k, "start": b, "end": e} for b, e, k in pair[i]] for pair in both], arrow) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "base", "spans"])
 
-    return common.id_and_text(docs).mapInArrow(run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("base", span), T.StructField("spans", span)]))
+    return common.mapped(common.id_and_text(docs), run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("base", span), T.StructField("spans", span)]))
 
 
 def scan_digests(docs: DataFrame, reach: int = REACH) -> DataFrame:
@@ -187,4 +187,4 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]", reach: int = REACH) -> Dat
             texts = [None if (t := x.as_py()) is None else redacted_text(t, mark, reach) for x in batch.column(where)]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if k == where else c for k, c in enumerate(batch.columns)], batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.mapped(docs, run, docs.schema)
