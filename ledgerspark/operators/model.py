@@ -15,8 +15,11 @@ class QCFailed(RuntimeError):
 
 
 def distinct_orders(orders: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Exact duplicates dropped; order_id may still repeat with other values, see `assert_unique`."""
-    return orders.distinct() if policy.drop_exact_duplicates else orders
+    """Exact duplicates dropped; order_id may still repeat with other values, see `assert_unique`.
+
+    Equal rows meet by their order_id, so that the joins by it need no further exchange.
+    """
+    return orders.repartition("order_id").distinct() if policy.drop_exact_duplicates else orders
 
 
 def assert_unique(df: DataFrame, key: str) -> DataFrame:

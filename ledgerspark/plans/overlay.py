@@ -13,6 +13,7 @@ class Overlay:
     """Tables of one data folder; each is a lazy plan over the Parquet scans."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark = spark
         self.read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
     @property
@@ -77,6 +78,14 @@ class Overlay:
             )
         )
 
+    @property
+    def promotions_raw(self) -> DataFrame:
+        """Discounts as text: some that don't parse, have three decimals or exceed their order; exact duplicates."""
+        k, text = F.col("order_id").cast("bigint"), F.col("discount_amount").cast("string")
+        value = F.when(k % 13 == 0, "abc").when(k % 17 == 0, F.lit(None)).when(k % 19 == 0, F.concat(F.lit("-"), text)).when(k % 23 == 0, "0.00").when(k % 29 == 0, F.concat(text, F.lit("9"))).when(k % 31 == 0, "99999999.00")
+        raw = self.promotions.withColumn("discount_amount", value.otherwise(text))
+        return raw.union(raw.where(k % 7 == 0))
+
 
 #: The same tables for an oracle: common table expressions, to be followed by a SELECT.
 SQL = """
@@ -108,6 +117,13 @@ WITH x_customers AS (
          l_returnflag || l_linestatus || l_linenumber AS promo_code,
          CAST(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)) AS DECIMAL(18,2)) AS discount_amount
   FROM lineitem WHERE l_discount >= 0.08 AND l_returnflag = 'R'
+), x_promotions_raw0 AS (
+  SELECT promotion_id, order_id, promo_code, CAST(order_id AS BIGINT) AS k,
+         CASE WHEN k % 13 = 0 THEN 'abc' WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN '-' || CAST(discount_amount AS VARCHAR) WHEN k % 23 = 0 THEN '0.00'
+              WHEN k % 29 = 0 THEN CAST(discount_amount AS VARCHAR) || '9' WHEN k % 31 = 0 THEN '99999999.00' ELSE CAST(discount_amount AS VARCHAR) END AS discount_amount
+  FROM x_promotions
+), x_promotions_raw AS (
+  SELECT * EXCLUDE (k) FROM x_promotions_raw0 UNION ALL SELECT * EXCLUDE (k) FROM x_promotions_raw0 WHERE k % 7 = 0
 ), d_orders AS (SELECT DISTINCT * FROM x_orders
 ), per_order AS (
   SELECT order_id, CAST(sum(discount_amount) AS DECIMAL(18,2)) AS discount_raw, string_agg(promo_code, ' + ' ORDER BY promo_code) AS promo_codes, count(*) AS n_promos

@@ -201,8 +201,37 @@ def test_inferred_keys_own_their_columns(spark):
 
 
 def test_missing_table_is_refused(spark):
-    with pytest.raises(ValueError, match="promotions"):
-        pipeline.run({"customers": customers(spark), "orders": customers(spark)})
+    """The transform doesn't run; undeclared tables are looked at all the same."""
+    tickets = spark.createDataFrame([("1", "a"), ("1", "a"), ("2", None)], "ticket_id string, text string")
+    r = pipeline.run({"customers": customers(spark), "orders": customers(spark), "tickets": tickets})
+    assert r.blocked == "the transform needs promotions" and not r.answers and set(r.others) == {"tickets"}
+    assert {f.check_name for f in r.findings.collect()} >= {"exact_duplicate", "null_value"} and r.health.count() == 1
+    with pytest.raises(model.QCFailed, match="promotions"):
+        pipeline.run({"customers": customers(spark)}, raise_on_fail=True)
+
+
+def test_raw_promotions_are_checked_and_cleaned(spark):
+    raw = spark.createDataFrame([("p", "1", "A", "abc"), ("q", "1", "B", "2.00"), ("q", "1", "B", "2.00"), ("r", "2", "C", " 99.999 "), ("s", "9", "D", "-1")], "promotion_id string, order_id string, promo_code string, discount_amount string")
+    r = pipeline.run(raw_tables(spark, CLEAN) | {"promotions": raw})
+    assert r.blocked == "" and r.answers["totals"].first().total_discount == 2.0
+    found = {(f.column_name, f.check_name): f.n_rows for f in r.findings.collect() if f.table_name == "promotions"}
+    assert found == {("discount_amount", "unparseable"): 1, ("discount_amount", "negative"): 1, ("discount_amount", "more_than_two_decimals"): 1, ("discount_amount", "over_amount"): 1, ("order_id", "orphan"): 1, ("promotion_id", "exact_duplicate"): 1, ("order_id", "stacked"): 2}
+    assert {x.rule: x.rows_dropped for x in r.promotion_log.collect()} == {"unparseable_discount": 1, "exact_duplicate": 1}
+    assert r.health.first().health == "Needs review"
+
+
+def test_versions_of_a_key_block_a_batch(spark, tmp_path):
+    target, state = str(tmp_path / "t"), str(tmp_path / "s")
+    with pytest.raises(model.QCFailed, match="several versions"):
+        incremental.run_batch(spark, orders(spark, [("a", "1", DAY, 10, "completed"), ("a", "1", DAY, 11, "completed")]), target, state)
+    assert incremental.run_batch(spark, orders(spark, [("a", "1", DAY, 10, "completed")] * 2), target, state).rows == 1
+    again = incremental.run_batch(spark, orders(spark, [("a", "1", DAY, 12, "completed"), ("b", "1", DAY, 3, "completed")]), target, state)
+    assert (again.rows, again.amount, again.changed) == (1, 3.0, 1)
+
+
+def test_types_are_inferred_from_the_whole_table(spark):
+    late = spark.range(30_000).selectExpr("cast(id as string) AS visit_id", "CASE WHEN id < 15000 THEN '5' ELSE 'word' END AS fee")
+    assert infer.inferred_types(late)["fee"] == "string"
 
 
 def test_folder_of_files_end_to_end(spark, tmp_path):
