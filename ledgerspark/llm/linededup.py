@@ -17,6 +17,7 @@ overlap their first copy. An empty table gives an empty table.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 import numpy as np
@@ -33,9 +34,15 @@ _KEY = ["d", "u"]
 _LAST = (1 << 63) - 1
 
 
+def _key() -> tuple:
+    """The documents' keys: d orders them (null last), u tells texts with one id apart."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    """The table with its documents' keys: d orders them (null last), u tells texts with one id apart."""
-    return docs.withColumns({"d": F.coalesce(F.col("doc_id").cast("long"), F.lit(_LAST)), "u": F.xxhash64("doc_id", "text")})
+    """doc_id and text with their keys."""
+    d, u = _key()
+    return docs.withColumns({"d": d, "u": u})
 
 
 def _lines(docs: DataFrame, min_words: int) -> DataFrame:
@@ -133,23 +140,25 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """All columns of the table, later copies of runs deleted from `text`, and n_lines, n_deleted.
 
-    Columns that the table already has under those names are replaced.
+    Columns that the table already has under those names, in any case, are replaced.
     """
-    runs = common.stored(repeated_runs(docs, min_words)).withColumnsRenamed({"d": "_d", "u": "_u", "runs": "_runs"})
-    keyed = _keyed(docs.drop("n_lines", "n_deleted").withColumn("text", F.col("text").cast("string"))).withColumnsRenamed({"d": "_d", "u": "_u"})
-    names = [c for c in docs.columns if c not in ("n_lines", "n_deleted")]
-    joined = common.beside(keyed, runs, ["_d", "_u"], "left").select(*names, "_runs")
-    where = names.index("text")
-    schema = T.StructType([*(f for f in joined.schema.fields if f.name != "_runs"), T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
+    own = {c: f"{c}_{uuid.uuid4().hex}" for c in ("d", "u", "runs")}  # no name of the table's can clash
+    runs = common.stored(repeated_runs(docs, min_words)).withColumnsRenamed(own)
+    d, u = _key()
+    names = [c for c in docs.columns if c.lower() not in ("n_lines", "n_deleted")]
+    kept = [F.col(c).cast("string").alias(c) if c.lower() == "text" else F.col(c) for c in names]
+    joined = common.beside(docs.select(*kept, d.alias(own["d"]), u.alias(own["u"])), runs, [own["d"], own["u"]], "left").select(*names, own["runs"])
+    where = [c.lower() for c in names].index("text")
+    schema = T.StructType([*joined.schema.fields[:-1], T.StructField("n_lines", T.LongType()), T.StructField("n_deleted", T.LongType())])
 
     def run(batches):
         for batch in batches:
             texts, counts, deleted = [], [], []
-            for text, own in zip(batch.column(where), batch.column("_runs")):
-                text, own = text.as_py(), own.as_py()
+            for text, found in zip(batch.column(where), batch.column(batch.num_columns - 1)):
+                text, found = text.as_py(), found.as_py()
                 lines = text.split("\n") if text else []
                 gone = set()
-                for r in own or ():
+                for r in found or ():
                     gone.update(range(r["i"], r["i"] + r["length"]))
                 texts.append("\n".join(line for i, line in enumerate(lines) if i not in gone) if gone else text)
                 counts.append(len(lines))

@@ -292,6 +292,13 @@ def test_every_later_copy_of_a_line_goes(spark):
     assert {r.doc_id: (r.text, r.n_deleted) for r in got} == {1: (passage, 0), 2: (after, 1), 3: ("", 3), 4: ("licensed under x\nown", 0), 5: ("else", 1), 6: ("", 1)}
 
 
+def test_lines_of_a_table_with_clashing_names(spark):
+    rows = [(1, "a b\nc", 1, 2, 3, 4, "x"), (2, "a b\nd", 1, 2, 3, 4, "y"), (None, None, 1, 2, 3, 4, "z")]
+    got = linededup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string, _d int, u int, d int, N_lines int, _runs string"))
+    assert got.columns == ["doc_id", "text", "_d", "u", "d", "_runs", "n_lines", "n_deleted"]
+    assert sorted(map(repr, map(tuple, got.collect()))) == ["(1, 'a b\\nc', 1, 2, 3, 'x', 2, 0)", "(2, 'd', 1, 2, 3, 'y', 2, 1)", "(None, None, 1, 2, 3, 'z', 0, 0)"]
+
+
 def test_lines_of_documents(documents, odd, nothing):
     rows = [(r.doc_id, r.text) for r in documents.collect()]
     assert {r.doc_id: tuple(r)[1:] for r in linededup.line_digests(documents).collect()} == cut(rows, linededup.MIN_WORDS)
